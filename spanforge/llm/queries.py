@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, mixing, quality, secrets
+from . import line_dedup, mixing, quality, secrets, token_counts, token_store
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,8 +20,10 @@ def queries() -> dict[str, Query]:
     return {
         "op3_secrets": _over("documents", secrets.op3_query),
         "op4_line_dedup": _over("documents", line_dedup.op4_query),
+        "op5_token_counts": _over("documents", token_counts.op5_query),
         "op7_quality": _over("documents", quality.op7_query),
         "op9_mixing": _over("documents", mixing.op9_query),
+        "op10_token_files": _over("documents", token_store.op10_query),
     }
 
 
