@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, mixing, quality, secrets, token_counts, token_store
+from . import decontam, line_dedup, mixing, quality, secrets, token_counts, token_store
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,7 @@ def queries() -> dict[str, Query]:
         "op4_line_dedup": _over("documents", line_dedup.op4_query),
         "op5_token_counts": _over("documents", token_counts.op5_query),
         "op7_quality": _over("documents", quality.op7_query),
+        "op8_decontamination": lambda spark, sf_dir: decontam.op8_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
         "op9_mixing": _over("documents", mixing.op9_query),
         "op10_token_files": _over("documents", token_store.op10_query),
     }

@@ -74,3 +74,27 @@ def targets(sizes, weights=(3, 1, 2), share=1.5, most=2.0):
             left -= out[s]
         open_ -= over
     return out
+
+
+def bench_words(t):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(UPPER))
+
+
+def contaminated(docs, items, window=10):
+    """{doc_id: (n_words, n_hit, n_items, items_sha256, contaminated)}."""
+    phrases = {}
+    for i, t in items:
+        w = bench_words(t)
+        for k in range(max(len(w) - window + 1, 1) if w else 0):
+            phrases.setdefault(tuple(w[k : k + window]), set()).add("null" if i is None else str(i))
+    lengths = {len(p) for p in phrases}
+    out = {}
+    for d, t in docs:
+        w, hit, found = bench_words(t), set(), set()
+        for n in lengths:
+            for k in range(len(w) - n + 1):
+                if owners := phrases.get(tuple(w[k : k + n])):
+                    hit.update(range(k, k + n))
+                    found |= owners
+        out[d] = (len(w), len(hit), len(found), sha(",".join(sorted(found))), bool(hit))
+    return out
