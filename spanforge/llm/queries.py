@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, line_dedup, mixing, quality, secrets, token_counts, token_store
+from . import decontam, line_dedup, mixing, near_dup, quality, secrets, token_counts, token_store
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,7 @@ def _over(table_name: str, query: Callable[[DataFrame], DataFrame]) -> Query:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_near_dup": _over("documents", near_dup.op1_query),
         "op3_secrets": _over("documents", secrets.op3_query),
         "op4_line_dedup": _over("documents", line_dedup.op4_query),
         "op5_token_counts": _over("documents", token_counts.op5_query),
