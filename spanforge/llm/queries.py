@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, line_dedup, mixing, near_dup, quality, secrets, token_counts, token_store
+from . import decontam, line_dedup, mixing, near_dup, pii, quality, secrets, token_counts, token_store, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,9 +19,11 @@ def _over(table_name: str, query: Callable[[DataFrame], DataFrame]) -> Query:
 def queries() -> dict[str, Query]:
     return {
         "op1_near_dup": _over("documents", near_dup.op1_query),
+        "op2_pii": _over("documents", pii.op2_query),
         "op3_secrets": _over("documents", secrets.op3_query),
         "op4_line_dedup": _over("documents", line_dedup.op4_query),
         "op5_token_counts": _over("documents", token_counts.op5_query),
+        "op6_url_filter": lambda spark, sf_dir: url_filter.op6_query(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")),
         "op7_quality": _over("documents", quality.op7_query),
         "op8_decontamination": lambda spark, sf_dir: decontam.op8_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
         "op9_mixing": _over("documents", mixing.op9_query),
