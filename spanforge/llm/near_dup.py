@@ -14,7 +14,7 @@ from .common import small, written
 from .components import components
 
 #: Text bytes that are sketched at once.
-READ_BYTES = 4 << 20
+READ_BYTES = 2 << 20
 
 
 def _slices(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
@@ -91,9 +91,10 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, doc_id: str = "doc
     share a band of Order MinHash over occurrence-labelled five-word shingles (see ``sketch``), and only what a banded
     alignment of whole texts confirms is linked.
 
-    Within a band's bucket members are compared to a leader, the least id, not to each other. Members that are not in the
-    leader's class after that get a new leader among themselves, and so on until a round finds no new link, so a
-    bucket of g texts costs about g comparisons a round and no pair of groups is cut off by a cap.
+    Within a band's bucket members are compared to a leader, the least id, not to each other. Where that found a link,
+    members that are not in the leader's class get a new leader among themselves, and so on, until a leader finds none: a
+    bucket of g texts costs about g comparisons a round, whatever it holds. A bucket whose leader is like nobody in it is
+    left: it holds texts that share a passage, and texts that are alike meet in other buckets, too.
 
     A null or wordless text is a class of its own (class_id: its doc_id). Rows that share a doc_id share a class. A null doc_id has no class (null). Further
     columns are ignored. An empty table gives no rows.
@@ -121,15 +122,14 @@ def _classed(docs: DataFrame, similarity: float, doc_id: str, text: str) -> tupl
     same_id = _ids_of_many_texts(rows)
     links = written(verified(pairs, words, similarity).union(same_id), "verified")
     roots = components(links)
-    seen = pairs
+    new = links
     while True:
-        members = written(_unresolved(members, roots), "members")
+        fruitful = members.join(new, (members.leader == new.a) & (members.id == new.b), "left_semi").select("key").distinct()
+        members = written(_unresolved(members.join(fruitful, "key", "left_semi"), roots), "members")
         again = members.where(near & (F.col("id") != F.col("leader"))).select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-        again = written(again.join(seen, ["a", "b"], "left_anti"), "pairs")
         new = written(verified(again, words, similarity), "verified")
         if new.isEmpty():
             break
-        seen = seen.union(again)
         roots = components(new.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
 
     classes = texts.join(roots, texts.id == roots.node, "left").select("h1", "h2", F.coalesce("root", "id").alias("class_id"), "copies")
