@@ -32,7 +32,7 @@ def _power(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
-def _run_hashes(values: np.ndarray, begin: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
+def run_hashes(values: np.ndarray, begin: np.ndarray, end: np.ndarray, base: int = _BASE) -> np.ndarray:
     """Polynomial hash of values[begin:end] for each run, the last value having weight 1. Weights fall from the start of all values, so a run's hash is scaled by the inverse power of its place."""
     inverse = pow(base, -1, 1 << 64)
     n = len(values)
@@ -48,7 +48,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     word = values != 32
     edge = np.flatnonzero(np.diff(np.concatenate([[0], word.astype(np.int8)])))
     begin, end = edge[0::2], edge[1::2]
-    hashes = mix(_run_hashes(values.astype(np.uint64), begin, end, _BASE) ^ (end - begin).astype(np.uint64))
+    hashes = mix(run_hashes(values.astype(np.uint64), begin, end, _BASE) ^ (end - begin).astype(np.uint64))
     return hashes, np.bincount(np.searchsorted(np.cumsum(sizes), begin, side="right"), minlength=len(texts)).astype(np.int64)
 
 
@@ -56,7 +56,7 @@ def text_hashes(words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.nd
     """Two 64-bit hashes of each text's word sequence."""
     ends = np.cumsum(sizes)
     n = sizes.astype(np.uint64)
-    return tuple(mix(_run_hashes(mix(words ^ _U(seed)), ends - sizes, ends, base) + n) for seed, base in ((1, _BASE), (2, 0xD1342543DE82EF95)))
+    return tuple(mix(run_hashes(mix(words ^ _U(seed)), ends - sizes, ends, base) + n) for seed, base in ((1, _BASE), (2, 0xD1342543DE82EF95)))
 
 
 def shingles(words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,23 +12,69 @@ from pyspark.sql import functions as F
 
 from .common import shared_path, written
 from .huffman import Code, code_lengths
+from .sketch import mix, run_hashes
 
 #: Compressed bytes that a shard file aims at, and shards at most.
 SHARD_BYTES, MOST_SHARDS = 64 << 20, 1 << 16
+#: Text bytes that are encoded at once; working arrays take about a hundred times as much.
+READ_BYTES = 1 << 20
 _encoders: dict[str, Encoder] = {}
 
 
+class WordTable:
+    """Numbers of words known by a 64-bit hash, their length and their first eight bytes; open addressing in numpy arrays."""
+
+    def __init__(self, bits: int = 22):
+        self.mask = (1 << bits) - 1
+        self.hash = np.zeros(1 << bits, np.uint64)
+        self.check = np.zeros(1 << bits, np.uint64)
+        self.number = np.full(1 << bits, -1, np.int32)
+
+    def find(self, h: np.ndarray, check: np.ndarray) -> np.ndarray:
+        """The number of each word, -1 for those not there."""
+        out = np.full(len(h), -1, np.int32)
+        todo = np.arange(len(h))
+        slot = (h & np.uint64(self.mask)).astype(np.int64)
+        while len(todo):
+            number = self.number[slot]
+            same = (self.hash[slot] == h[todo]) & (self.check[slot] == check[todo]) & (number >= 0)
+            out[todo[same]] = number[same]
+            on = ~same & (number >= 0)
+            todo, slot = todo[on], (slot[on] + 1) & self.mask
+        return out
+
+    def add(self, h: np.ndarray, check: np.ndarray, number: np.ndarray) -> None:
+        """Words that are not there, each once."""
+        todo = np.arange(len(h))
+        slot = (h & np.uint64(self.mask)).astype(np.int64)
+        while len(todo):
+            free = self.number[slot] < 0
+            at, first = np.unique(np.where(free, slot, -1), return_index=True)
+            first = first[at >= 0]
+            put, where = todo[first], slot[first]
+            self.hash[where], self.check[where], self.number[where] = h[put], check[put], number[put]
+            left = np.ones(len(todo), bool)
+            left[first] = False
+            todo, slot = todo[left], (slot[left] + 1) & self.mask
+
+
 class Encoder:
-    """The ids a tokenizers file gives, remembered by word where the file drops white space.
+    """The ids a tokenizers file gives, remembered by word where the file drops white space and case.
 
-    If its pre-tokenizer keeps only what matches a pattern that white space cannot be part of, a text's ids are those
-    of its words one after the other. Words not seen before are encoded together, with a separator between them that
-    is one token of its own. The memory is emptied at ``most`` words.
+    If its pre-tokenizer keeps only runs of letters, digits and other characters, a text's ids are those of its words one
+    after the other, and a word may be cut between an ASCII letter and a mark of punctuation. A-Z are lower-cased first,
+    unless the text holds combining accents (which join upper-case letters otherwise) or what may be a special token.
+    Words not seen before are encoded together, with a separator between them that is one token of its own. The memory
+    is emptied at ``most`` words.
     """
 
     SEPARATORS = "~^`|§¤"
+    LOWER = bytes(b + 32 if 65 <= b <= 90 else 32 if b in b"\t\n\r" else b for b in range(256))
+    SPACE = bytes(32 if b in b"\t\n\r" else b for b in range(256))
+    MARKS = np.isin(np.arange(256), np.frombuffer(b",.!?;:#*$%&|", np.uint8))
+    SPECIAL = (b"<|", b"\xcc", b"\xcd")
 
-    def __init__(self, path: str, most: int = 800_000):
+    def __init__(self, path: str, most: int = 2_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -42,7 +87,7 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.place: dict[str, int] = {"": 0}
+        self.table, self.n_words = WordTable(), 0
         self.size = np.zeros(1 << 16, np.int64)
         self.start = np.zeros(1 << 16, np.int64)
         self.flat = np.zeros(1 << 18, np.uint32)
@@ -51,44 +96,61 @@ class Encoder:
     def _plain(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: list[str]) -> None:
+    def _encoded(self, words: list[str]) -> list[np.ndarray]:
         sep = self.separator
-        joined = [w for w in words if sep and sep[0] not in w]
-        alone = [w for w in words if not sep or sep[0] in w]
-        parts: list[np.ndarray] = []
+        joined = [i for i, w in enumerate(words) if sep and sep[0] not in w]
+        alone = [i for i, w in enumerate(words) if not sep or sep[0] in w]
+        parts: list = [None] * len(words)
         for lo in range(0, len(joined), 20_000):
-            ids = np.array(self._plain([f" {sep[0]} ".join(joined[lo : lo + 20_000])])[0], np.uint32)
-            parts += np.split(ids, np.flatnonzero(ids == sep[1]))
-            for k in range(1, len(joined[lo : lo + 20_000])):  # each part but the first begins with the separator
-                parts[lo + k] = parts[lo + k][1:]
-        assert len(parts) == len(joined)
-        parts += [np.array(x, np.uint32) for x in (self._plain(alone) if alone else [])]
-        base, sizes = len(self.place), np.array([len(p) for p in parts], np.int64)
-        flat = np.concatenate(parts)
-        self.size, self.start = _room(self.size, base + len(parts)), _room(self.start, base + len(parts))
-        self.size[base : base + len(parts)] = sizes
-        self.start[base : base + len(parts)] = self.n_flat + np.cumsum(sizes) - sizes
+            here = joined[lo : lo + 20_000]
+            ids = np.array(self._plain([f" {sep[0]} ".join([words[i] for i in here])])[0], np.uint32)
+            split = np.split(ids, np.flatnonzero(ids == sep[1]))
+            assert len(split) == len(here)
+            for k, i in enumerate(here):
+                parts[i] = split[k][1:] if k else split[k]  # each part but the first begins with the separator
+        for i, ids in zip(alone, self._plain([words[i] for i in alone]) if alone else [], strict=True):
+            parts[i] = np.array(ids, np.uint32)
+        return parts
+
+    def _learn(self, words: list[str], h: np.ndarray, check: np.ndarray) -> None:
+        parts = self._encoded(words)
+        base, end = self.n_words, self.n_words + len(parts)
+        sizes, flat = np.array([len(p) for p in parts], np.int64), np.concatenate(parts)
+        self.size, self.start = _room(self.size, end), _room(self.start, end)
+        self.size[base:end] = sizes
+        self.start[base:end] = self.n_flat + np.cumsum(sizes) - sizes
         self.flat = _room(self.flat, self.n_flat + len(flat))
         self.flat[self.n_flat : self.n_flat + len(flat)] = flat
         self.n_flat += len(flat)
-        self.place.update(zip(joined + alone, range(base, base + len(parts)), strict=True))
+        self.table.add(h, check, np.arange(base, end, dtype=np.int32))
+        self.n_words = end
 
-    def encode(self, texts: list[str], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """ids of all texts, each with ``end`` appended, and how many each has."""
+    def encode(self, texts: list[bytes], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """ids of all texts (UTF-8), each with ``end`` appended, and how many each has."""
         if not self.by_word:
-            ids = [x + ([] if end is None else [end]) for x in self._plain(texts)]
+            ids = [x + ([] if end is None else [end]) for x in self._plain([t.decode() for t in texts])]
             return np.array([i for x in ids for i in x], np.uint32), np.array([len(x) for x in ids], np.int64)
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        if len(self.place) > self.most:
+        if self.n_words > self.most:
             self._forget()
-        if new := set().union(*split) - self.place.keys():
-            self._learn(list(new))
-        n_words = np.array([len(x) for x in split], np.int64)
-        at = np.fromiter((i for x in split for i in map(self.place.__getitem__, x)), np.int64, int(n_words.sum()))
+        as_is = [any(x in t for x in self.SPECIAL) for t in texts]
+        data = b" ".join([t.translate(self.SPACE if keep else self.LOWER) for t, keep in zip(texts, as_is, strict=True)]) + b" " * 9
+        text_ends = np.cumsum([len(t) + 1 for t in texts])
+        values = np.frombuffer(data, np.uint8)
+        cuts = np.flatnonzero(self.MARKS[values[1:]] & (values[:-1] >= 97) & (values[:-1] <= 122)) + 1
+        if any(as_is):
+            cuts = cuts[~np.array(as_is)[np.searchsorted(text_ends, cuts, side="right")]]
+        h, check, begin, stop = _word_keys(values, cuts)
+        at = self.table.find(h, check)
+        if len(unknown := np.flatnonzero(at < 0)):
+            _, first = np.unique(h[unknown], return_index=True)
+            new = unknown[first]
+            spans = zip(begin[new].tolist(), stop[new].tolist(), strict=True)
+            self._learn([data[b:e].decode() for b, e in spans], h[new], check[new])
+            at[unknown] = self.table.find(h[unknown], check[unknown])
+        ends = np.searchsorted(begin, text_ends)
         size = self.size[at]
         sums = np.concatenate([[0], np.cumsum(size)])
-        ends = np.cumsum(n_words)
-        per_text = sums[ends] - sums[ends - n_words]
+        per_text = np.diff(sums[ends], prepend=0)
         ids = self.flat[np.repeat(self.start[at] - sums[:-1], size) + np.arange(int(sums[-1]))]
         if end is not None:
             ids = np.insert(ids, np.cumsum(per_text), end)
@@ -96,6 +158,18 @@ class Encoder:
         return ids, per_text
 
 
+def _word_keys(values: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each run of other bytes than spaces, cut where told: a hash, a check (its first eight bytes and length) and where it begins and ends."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], (values != 32).view(np.int8)])))
+    begin, stop = np.sort(np.concatenate([edge[0::2], cuts]), kind="stable"), np.sort(np.concatenate([edge[1::2], cuts]), kind="stable")
+    length = (stop - begin).astype(np.uint64)
+    h = mix(run_hashes(values.astype(np.uint64), begin, stop) ^ length)
+    head = np.lib.stride_tricks.sliding_window_view(values, 8)[begin].copy().view("<u8")[:, 0]
+    short = np.minimum(length, np.uint64(8)) * np.uint64(8)
+    masked = np.where(length < 8, head & ((np.uint64(1) << (short & np.uint64(63))) - np.uint64(1)), head)
+    return h, mix(masked) + length, begin, stop
+
+
 def _room(a: np.ndarray, n: int) -> np.ndarray:
     return a if n <= len(a) else np.concatenate([a, np.zeros(max(n - len(a), len(a)), a.dtype)])
 
@@ -139,9 +213,9 @@ def tokenized(docs: DataFrame, tokenizer: str, end: int | None = None, doc_id: s
         enc = encoder(tokenizer)
         kind = np.dtype("<u2" if max(enc.n_ids - 1, end or 0) < 1 << 16 else "<u4")
         for batch in batches:
-            for lo, hi in _groups(pc.binary_length(batch.column(2)).to_numpy(zero_copy_only=False), 1 << 20):
+            for lo, hi in _groups(pc.binary_length(batch.column(2)).to_numpy(zero_copy_only=False), READ_BYTES):
                 part = batch.slice(lo, hi - lo)
-                ids, sizes = enc.encode(part.column(2).to_pylist(), end)
+                ids, sizes = enc.encode(part.column(2).cast(pa.binary()).to_pylist(), end)
                 data, ends = ids.astype(kind).tobytes(), np.cumsum(sizes) * kind.itemsize
                 runs = [data[a:b] for a, b in zip((ends - sizes * kind.itemsize).tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sizes), pa.array(runs, pa.binary())], ["id", "tie", "n_tokens", "ids"])
