@@ -103,7 +103,7 @@ def fit_accuracies(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 20
     votes no likelier among bad rows, so that classes cannot swap.
     """
     patterns = sorted(patterns)
-    prior, tables = start, [dict(START) for _ in range(len(patterns[0][0]) if patterns else 0)]
+    prior, tables = start, [dict(START) for _ in range(len(patterns[0][0]) if patterns else len(RULES))]
     total = sum(n for _, n in patterns)
     for _ in range(rounds if total else 0):
         good_rows = [n * _posterior(prior, tables, v) for v, n in patterns]
@@ -123,6 +123,9 @@ def fit_accuracies(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 20
 
 
 def _posterior(prior: float, tables: Tables, vote: tuple[int, ...]) -> float:
+    """A row that no rule votes against is good: else a class of bad rows without bad votes could grow among them."""
+    if -1 not in vote:
+        return 1.0
     z = math.log(prior / (1 - prior)) + sum(math.log(t[v][0] / t[v][1]) for t, v in zip(tables, vote, strict=True) if v)
     return 1 / (1 + math.exp(-max(min(z, 700), -700)))
 
@@ -138,7 +141,7 @@ def _probability(prior: float, tables: Tables) -> Column:
     for vote, rates in zip(votes().values(), tables, strict=True):
         weight = {v: F.lit(math.log(a / b)) for v, (a, b) in rates.items()}
         z = z + F.when(vote == 1, weight[1]).when(vote == -1, weight[-1]).otherwise(F.lit(0.0))
-    return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
+    return F.when(F.array_contains(F.array(*votes().values()), -1), F.lit(1.0) / (F.lit(1.0) + F.exp(-z))).otherwise(F.lit(1.0))
 
 
 def quality(docs: DataFrame, threshold: float = 0.5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
