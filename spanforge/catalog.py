@@ -300,9 +300,9 @@ _add("j16_subtract", lambda spark, sf: setops.subtract(orders(spark, sf), parts(
      _W + ", c AS (SELECT DISTINCT seqnames, strand, unnest(range(s, e + 1)) AS pos FROM p), x AS (SELECT idx, seqnames, strand, unnest(range(s, e + 1)) AS pos FROM g), d AS (SELECT * FROM x a WHERE NOT EXISTS (SELECT 1 FROM c b WHERE a.seqnames = b.seqnames AND a.pos = b.pos AND " + _OK + ")), k AS (SELECT *, pos - row_number() OVER (PARTITION BY idx ORDER BY pos) AS k FROM d) SELECT idx, seqnames, CAST(min(pos) AS INTEGER) AS \"start\", CAST(max(pos) AS INTEGER) AS \"end\", strand FROM k GROUP BY idx, seqnames, strand, k UNION ALL SELECT idx, seqnames, s, e, strand FROM g WHERE e < s AND NOT EXISTS (SELECT 1 FROM p b WHERE false)")
 
 # Tiles and variables
-_add("t1_tile_genome", lambda spark, sf: tiling.tile_genome(spaces(spark), n=37),
+_add("t1_tile_axis", lambda spark, sf: tiling.tile_axis(spaces(spark), n=37),
      f"WITH {_S}, t AS (SELECT k AS tile, ceil(501000.0 * (k - 1) / 37) + 1 AS a, ceil(501000.0 * k / 37) AS b FROM range(1, 38) t(k)) SELECT tile, seqnames, CAST(greatest(a, (seqid - 1) * 50100 + 1) - (seqid - 1) * 50100 AS INTEGER) AS \"start\", CAST(least(b, seqid * 50100) - (seqid - 1) * 50100 AS INTEGER) AS \"end\" FROM t JOIN sp ON a <= seqid * 50100 AND b > (seqid - 1) * 50100")
-_add("t2_tile_genome_width", lambda spark, sf: tiling.tile_genome(spaces(spark), tile_width=9999).groupBy("tile").agg(F.sum(R.width()).alias("width")), "SELECT k AS tile, CAST(ceil(501000.0 * k / 51) - ceil(501000.0 * (k - 1) / 51) AS BIGINT) AS width FROM range(1, 52) t(k)")
+_add("t2_tile_axis_width", lambda spark, sf: tiling.tile_axis(spaces(spark), tile_width=9999).groupBy("tile").agg(F.sum(R.width()).alias("width")), "SELECT k AS tile, CAST(ceil(501000.0 * k / 51) - ceil(501000.0 * (k - 1) / 51) AS BIGINT) AS width FROM range(1, 52) t(k)")
 _add("t3_tile_spaces", lambda spark, sf: tiling.tile_spaces(spaces(spark), 7000), f'WITH {_S} SELECT seqnames, CAST(k * 7000 + 1 AS INTEGER) AS "start", CAST(least((k + 1) * 7000, 50100) AS INTEGER) AS "end" FROM sp, range(0, 8) t(k)')
 _merged = lambda d: inter.merge_ranges(d, ignore_strand=True, drop_empty=True).withColumn("value", F.col("start") % 5)
 _MERGED = ", {m}_c AS (SELECT DISTINCT seqnames, unnest(range(s, e + 1)) AS pos FROM {t}), {m} AS (SELECT seqnames, min(pos) AS s, max(pos) AS e, CAST(min(pos) % 5 AS INTEGER) AS value FROM (SELECT *, pos - row_number() OVER (PARTITION BY seqnames ORDER BY pos) AS k FROM {m}_c) GROUP BY seqnames, k)"

@@ -114,8 +114,6 @@ def subtract(x: DataFrame, y: DataFrame, minoverlap: int = 1, ignore_strand: boo
 
 def _without(x: DataFrame, cuts: DataFrame) -> DataFrame:
     """Rows of x without cuts (idx, s_start, s_end)."""
-    from pyspark.sql import Window
-
     core = ["idx", "seqnames", "start", "end", "strand"]
     grouped = cuts.groupBy("idx").agg(F.sort_array(F.collect_list(F.struct("s_start", "s_end"))).alias("cuts"))
     rows = x.select(*core).join(grouped, "idx", "left")

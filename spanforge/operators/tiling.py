@@ -11,7 +11,7 @@ from ..functions.ranges import width
 from ..plans.binning import interval_join
 
 
-def tile_genome(seqinfo: DataFrame, n: int | None = None, tile_width: int | None = None) -> DataFrame:
+def tile_axis(seqinfo: DataFrame, n: int | None = None, tile_width: int | None = None) -> DataFrame:
     """All spaces end to end, cut into n tiles of near-equal size (tile k ends at ceil(total k / n)), or into as many as width
     tile_width allows: tile (1 ..), seqnames, start, end; a tile across spaces has a row for each."""
     if (n is None) == (tile_width is None):

@@ -151,7 +151,7 @@ def as_frame(df: DataFrame) -> DataFrame:
     return df.select("seqnames", "start", "end", width().alias("width"), "strand", *[c for c in df.columns if c not in core])
 
 
-def granges(df: DataFrame, attributes: bool = False) -> DataFrame:
+def coordinates(df: DataFrame, attributes: bool = False) -> DataFrame:
     """Coordinates alone, or with attributes."""
     return df if attributes else df.select(*[c for c in ("group", "group_name", "idx", "seqnames", "start", "end", "strand") if c in df.columns])
 

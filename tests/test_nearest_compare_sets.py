@@ -111,11 +111,11 @@ def test_subtract(spark):
 
 def test_tiles(spark):
     toy = seqinfo(spark, ["chr1", "chr2", "chr3"], [60, 20, 25])
-    rows = tiling.tile_genome(toy, n=5).groupBy("tile").agg(F.sum(F.expr("end - start + 1")).alias("w"), F.count("*").alias("n")).orderBy("tile").collect()
+    rows = tiling.tile_axis(toy, n=5).groupBy("tile").agg(F.sum(F.expr("end - start + 1")).alias("w"), F.count("*").alias("n")).orderBy("tile").collect()
     assert [(r.w, r.n) for r in rows] == [(21, 1), (21, 1), (21, 2), (21, 2), (21, 1)]
-    rows = tiling.tile_genome(toy, n=9).groupBy("tile").agg(F.sum(F.expr("end - start + 1")).alias("w"), F.count("*").alias("n")).orderBy("tile").collect()
+    rows = tiling.tile_axis(toy, n=9).groupBy("tile").agg(F.sum(F.expr("end - start + 1")).alias("w"), F.count("*").alias("n")).orderBy("tile").collect()
     assert {r.w for r in rows} == {11, 12} and [r.tile for r in rows if r.n == 2] == [6, 7]
-    assert tiling.tile_genome(toy, tile_width=20).select("tile").distinct().count() == 6
+    assert tiling.tile_axis(toy, tile_width=20).select("tile").distinct().count() == 6
     assert {r.w for r in tiling.tile_spaces(toy, 24).select(F.expr("end - start + 1").alias("w")).collect()} == {24, 12, 20, 1}
 
 
