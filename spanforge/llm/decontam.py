@@ -212,3 +212,18 @@ def op8_query(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.sha2(names.cast("binary"), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+_SQL_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+OP8_SQL = f"""
+WITH d AS (SELECT doc_id, {_SQL_WORDS} AS w FROM documents),
+i AS (SELECT coalesce(CAST(item_id AS VARCHAR), 'null') AS item, {_SQL_WORDS} AS w FROM benchmark),
+p AS (SELECT DISTINCT item, least(len(w), 10) AS n, array_to_string(list_slice(w, k, k + 9), ' ') AS phrase FROM i, unnest(range(1, greatest(len(w) - 9, 1) + 1)) t(k) WHERE len(w) > 0),
+places AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS k FROM d),
+g AS (SELECT doc_id, k, n, array_to_string(list_slice(w, k, k + n - 1), ' ') AS phrase FROM places, (SELECT DISTINCT n FROM p) WHERE k + n - 1 <= len(w)),
+h AS (SELECT doc_id, k, g.n, item FROM g JOIN p ON g.n = p.n AND g.phrase = p.phrase),
+hit AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(k, k + n)) AS pos FROM h) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
+"""

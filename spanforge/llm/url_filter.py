@@ -100,3 +100,33 @@ def judge_urls(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str,
 
 def op6_query(pages: DataFrame, labels: DataFrame) -> DataFrame:
     return judge_urls(pages, labels)
+
+
+def _sql_concentration(source: str, n: str, good: str, mean: str) -> str:
+    v = f"greatest({mean} * (1 - {mean}), 1e-6)"
+    ratio = f"(SELECT sum(pow({good} - {n} * {mean}, 2) / {n} - {v}) AS excess, sum({v} * ({n} - 1)) AS room FROM {source} WHERE {n} > 0)"
+    return f"(SELECT CASE WHEN room IS NULL OR room = 0 OR excess <= 0 THEN 10000.0 ELSE least(greatest(room / excess - 1, 1.0), 10000.0) END FROM {ratio})"
+
+
+_SQL_HOST = "translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', {g}, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+OP6_SQL = f"""
+WITH base AS (SELECT page_id, {_SQL_HOST.format(g=1)} AS host, coalesce(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 2, 's'), '') AS path FROM pages),
+rated AS (SELECT host, CASE WHEN quality IS NOT NULL THEN CAST(quality = 1 AND coalesce(toxic, 0) = 0 AS INTEGER) END AS y FROM base LEFT JOIN labels ON doc_id = page_id WHERE host <> ''),
+hosts AS (SELECT host, count(y) AS n, coalesce(sum(y), 0) AS good, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS domain FROM rated GROUP BY host),
+named AS (SELECT *, CASE WHEN contains(domain, '.') THEN split_part(domain, '.', 2) ELSE domain END AS suffix FROM hosts),
+domains AS (SELECT domain, suffix, sum(n) AS n, sum(good) AS good FROM named GROUP BY ALL),
+tops AS (SELECT suffix, sum(n) AS n, sum(good) AS good, (SELECT (coalesce(sum(good), 0) + 1) / (coalesce(sum(n), 0) + 2) FROM domains) AS up FROM domains GROUP BY suffix),
+smeans AS (SELECT suffix, (good + up * m) / (n + m) AS smean FROM tops, (SELECT {_sql_concentration('tops', 'n', 'good', 'up')} AS m)),
+d2 AS (SELECT domain, n, good, smean FROM domains JOIN smeans USING (suffix)),
+dmeans AS (SELECT domain, (good + smean * m) / (n + m) AS dmean FROM d2, (SELECT {_sql_concentration('d2', 'n', 'good', 'smean')} AS m)),
+h2 AS (SELECT host, n, good, dmean FROM named JOIN dmeans USING (domain)),
+post AS (SELECT host, n + m AS w, (good + dmean * m) / (n + m) AS mean FROM h2, (SELECT {_sql_concentration('h2', 'n', 'good', 'dmean')} AS m)),
+bad AS (SELECT host FROM post WHERE mean + 1.645 * sqrt(mean * (1 - mean) / (w + 1)) < 0.5),
+ruled AS (SELECT *, CASE
+  WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+  WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+  WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
+  WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule FROM base)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN host IN (SELECT host FROM bad) THEN 'block' ELSE 'allow' END AS verdict
+FROM ruled
+"""
