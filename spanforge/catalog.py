@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .functions import ranges as R
 from .operators import compare, inter, intra, lists, nearest, overlaps, setops, tiling, transcripts
+from .plans import constraints
 from .plans import seqinfo as info
 from .sources import ingest
 
@@ -319,6 +320,26 @@ _add("i20_to_reference", lambda spark, sf: transcripts.to_reference(part_groups(
      _W + ", x AS (SELECT *, idx // 4 AS grp, sum(e - s + 1) OVER (PARTITION BY idx // 4 ORDER BY idx) AS upto FROM p) SELECT d.grp AS \"group\", 40 AS tloc, CAST(CASE x.strand WHEN '-' THEN x.e - (40 - (upto - (e - s + 1))) + 1 ELSE s + 40 - (upto - (e - s + 1)) - 1 END AS BIGINT) AS ref_pos FROM (SELECT DISTINCT grp FROM x) d LEFT JOIN x ON d.grp = x.grp AND 40 <= upto AND 40 > upto - (e - s + 1)")
 
 
+# Lists, order of rows and checks
+_add("s3_list_of", lambda spark, sf: lists.list_of(parts(spark, sf), intra.shift(parts(spark, sf), 5), names=["a", "b"]).select("group", "group_name", "idx", "start"), _W + 'SELECT CAST(1 AS BIGINT) AS "group", \'a\' AS group_name, idx, s AS "start" FROM p UNION ALL SELECT 2, \'b\', idx, s + 5 FROM p')
+_add("p14_seqinfo_of", lambda spark, sf: info.seqinfo_of(orders(spark, sf)).select("seqid", "seqnames"), f"WITH {_S} SELECT seqid, seqnames FROM sp")
+_add("o7_order_within", lambda spark, sf: lists.order_within(order_groups(spark, sf), spaces(spark)), _W + f'SELECT idx // 5 AS "group", idx, CAST(row_number() OVER (PARTITION BY idx // 5 ORDER BY seqid, {_SID}, s, e, idx) AS INTEGER) AS place FROM g JOIN sp USING (seqnames)')
+_chain = lambda spark, sf: parts(spark, sf).withColumns({"seqnames": F.concat(F.lit("chr"), (F.floor(F.col("idx") / 10) % 10 + 1).cast("string")), "strand": F.lit("+"), "start": (F.col("idx") * 4).cast("int"), "end": (F.col("idx") * 4 + F.when(F.col("idx") % 3 == 0, 2).otherwise(3)).cast("int")})
+_add("a8_stitch", lambda spark, sf: inter.stitch(_chain(spark, sf)),
+     """WITH x AS (SELECT p_partkey AS idx, 'chr' || (p_partkey // 10 % 10 + 1) AS seqnames, CAST(p_partkey * 4 AS INTEGER) AS s, CAST(p_partkey * 4 + CASE p_partkey % 3 WHEN 0 THEN 2 ELSE 3 END AS INTEGER) AS e FROM part),
+ y AS (SELECT *, CASE WHEN lag(seqnames) OVER w = seqnames AND lag(e) OVER w + 1 = s THEN 0 ELSE 1 END AS new FROM x WINDOW w AS (ORDER BY idx)), z AS (SELECT *, sum(new) OVER (ORDER BY idx) AS run FROM y)
+ SELECT min(idx) AS idx, any_value(seqnames) AS seqnames, '+' AS strand, min(s) AS "start", max(e) AS "end" FROM z GROUP BY run""")
+_add("j2_lists_within", lambda spark, sf: overlaps.find_overlaps_lists(part_groups(spark, sf), intra.resize(part_groups(spark, sf), 60, "center"), kind="within"),
+     _W + f", x AS (SELECT *, idx // 4 AS grp FROM p), y AS (SELECT idx, grp, seqnames, strand, s + CAST(floor((e - s + 1 - 60) / 2.0) AS INTEGER) AS s, s + CAST(floor((e - s + 1 - 60) / 2.0) AS INTEGER) + 59 AS e FROM x), h AS (SELECT a.grp AS qg, b.grp AS sg, count(DISTINCT a.idx) AS n FROM x a JOIN y b ON a.seqnames = b.seqnames AND {_OK} AND b.s <= a.s AND a.e <= b.e GROUP BY 1, 2) SELECT qg AS query_idx, sg AS subject_idx FROM h WHERE n = (SELECT count(*) FROM x WHERE grp = qg)")
+_add("j2_lists_equal", lambda spark, sf: overlaps.find_overlaps_lists(part_groups(spark, sf), part_groups(spark, sf).where("group % 3 <> 0 OR idx % 4 <> 0"), kind="equal"),
+     _W + f", x AS (SELECT *, idx // 4 AS grp FROM p), y AS (SELECT * FROM x WHERE grp % 3 <> 0 OR idx % 4 <> 0), h AS (SELECT a.grp AS qg, b.grp AS sg, count(DISTINCT a.idx) AS n, count(DISTINCT b.idx) AS m FROM x a JOIN y b ON a.seqnames = b.seqnames AND {_OK} AND a.s = b.s AND a.e = b.e GROUP BY 1, 2) SELECT qg AS query_idx, sg AS subject_idx FROM h WHERE n = (SELECT count(*) FROM x WHERE grp = qg) AND m = (SELECT count(*) FROM y WHERE grp = sg)")
+_add("u7_intersect_lists", lambda spark, sf: setops.parallel_intersect_list(order_groups(spark, sf), orders(spark, sf)).select("group", "idx", "start", "end", "hit"),
+     _W + f', x AS (SELECT a.idx // 5 AS grp, a.idx, a.s AS s0, greatest(a.s, b.s) AS s, least(a.e, b.e) AS e, a.seqnames = b.seqnames AND {_OK} AND least(a.e, b.e) >= greatest(a.s, b.s) - 1 AS hit FROM g a JOIN g b ON a.idx // 5 = b.idx) SELECT grp AS "group", idx, CASE WHEN hit THEN s ELSE s0 END AS "start", CASE WHEN hit THEN e ELSE s0 - 1 END AS "end", hit FROM x')
+_add("j9_nearest_in_self", lambda spark, sf: nearest.nearest_in_self(parts(spark, sf), ignore_strand=True, ties="both"),
+     _W + ", o AS (SELECT a.idx AS q, b.idx AS t FROM p a JOIN p b ON a.seqnames = b.seqnames AND a.idx <> b.idx AND b.s <= a.e + 1 AND b.e >= a.s - 1), c AS (SELECT a.idx AS q, b.idx AS t, greatest(b.s - a.e, a.s - b.e) - 1 AS d FROM p a JOIN p b ON a.seqnames = b.seqnames AND (b.s > a.e OR b.e < a.s) WHERE a.idx NOT IN (SELECT q FROM o)) SELECT q AS query_idx, t AS subject_idx, CAST(0 AS BIGINT) AS distance FROM o UNION ALL SELECT q, t, CAST(d AS BIGINT) FROM (SELECT * FROM c QUALIFY d = min(d) OVER (PARTITION BY q))")
+_add("m_constraints", lambda spark, sf: constraints.violations(orders(spark, sf), "stranded"), _W + "SELECT CASE WHEN count(*) > 0 THEN 'stranded' END AS failed FROM g WHERE strand = '*'")
+
+
 def queries() -> dict[str, Query]:
     return {name: query for name, (query, _) in _REGISTRY.items()}
 

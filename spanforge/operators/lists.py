@@ -112,3 +112,13 @@ def factor_of(ranges: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def unfactor(levels: DataFrame, rows: DataFrame) -> DataFrame:
     return rows.join(levels, "level").drop("level")
+
+
+def order_within(ranges: DataFrame, seqinfo: DataFrame, decreasing: bool = False) -> DataFrame:
+    """group, idx and place (1 ..) of each range in natural order within its element; ties in order of idx."""
+    from ..functions.ranges import strand_id, width
+
+    turn = (lambda c: c.desc()) if decreasing else (lambda c: c)
+    order = [turn(F.col("_seqid")), turn(strand_id(F.col("strand"))), turn(F.col("start")), turn(width()), F.col("idx")]
+    keyed = ranges.join(seqinfo.select("seqnames", F.col("seqid").alias("_seqid")), "seqnames")
+    return keyed.select("group", "idx", F.row_number().over(Window.partitionBy("group").orderBy(*order)).alias("place"))

@@ -70,7 +70,17 @@ def nearest(query: DataFrame, subject: DataFrame, ignore_strand: bool = False, s
     if select == "arbitrary":
         over = select_hits(query, over, "arbitrary").where("subject_idx IS NOT NULL")
     rest = query.join(over, query["idx"] == over["query_idx"], "left_anti")
-    sides = precede(rest, subject, ignore_strand, block).withColumn("side", F.lit(0)).unionByName(follow(rest, subject, ignore_strand, block).withColumn("side", F.lit(1)))
+    sides = _sides(rest, subject, ignore_strand, block)
+    return over.select("query_idx", "subject_idx", F.lit(0).cast("bigint").alias("distance")).unionByName(_best(sides, select, ties))
+
+
+def _sides(query: DataFrame, subject: DataFrame, ignore_strand: bool, block: int | None) -> DataFrame:
+    ahead, behind = precede(query, subject, ignore_strand, block), follow(query, subject, ignore_strand, block)
+    return ahead.withColumn("side", F.lit(0)).unionByName(behind.withColumn("side", F.lit(1)))
+
+
+def _best(sides: DataFrame, select: str, ties: str) -> DataFrame:
+    """The nearer side of each query, as ``nearest`` says."""
     if select == "arbitrary":
         # of each side one subject: the first of those after, the last of those before
         one = sides.groupBy("query_idx", "side", "gap").agg(F.min("subject_idx").alias("lo"), F.max("subject_idx").alias("hi"))
@@ -80,17 +90,19 @@ def nearest(query: DataFrame, subject: DataFrame, ignore_strand: bool = False, s
         w = Window.partitionBy("query_idx")
         order = F.struct("gap", "side") if ties == "precede" else F.col("gap")
         best = sides.withColumn("_o", order).withColumn("_m", F.min("_o").over(w)).where("_o = _m").select("query_idx", "subject_idx", "gap").distinct()
-    return over.select("query_idx", "subject_idx", F.lit(0).cast("bigint").alias("distance")).unionByName(best.select("query_idx", "subject_idx", (F.col("gap") - 1).alias("distance")))
+    return best.select("query_idx", "subject_idx", (F.col("gap") - 1).alias("distance"))
 
 
-def nearest_in_self(df: DataFrame, **how) -> DataFrame:
+def nearest_in_self(df: DataFrame, ignore_strand: bool = False, select: str = "all", ties: str = "precede", bins: int | None = None, block: int | None = None) -> DataFrame:
     """``nearest`` within one table; a row is not its own neighbour."""
-    over = find_overlaps(df, df, maxgap=0, ignore_strand=how.get("ignore_strand", False)).where("query_idx <> subject_idx")
-    if how.get("select") == "arbitrary":
+    over = find_overlaps(df, df, maxgap=0, ignore_strand=ignore_strand, bins=bins).where("query_idx <> subject_idx")
+    if select == "arbitrary":
         over = select_hits(df, over, "arbitrary").where("subject_idx IS NOT NULL")
     rest = df.join(over, df["idx"] == over["query_idx"], "left_anti")
-    apart = nearest(rest, df, **how).where("query_idx <> subject_idx")
-    return over.select("query_idx", "subject_idx", F.lit(0).cast("bigint").alias("distance")).unionByName(apart)
+    # nothing but itself touches such a row, so one position more on either side only keeps it from finding itself
+    wider = rest.withColumns({"start": F.col("start") - 1, "end": F.col("end") + 1})
+    apart = _best(_sides(wider, df, ignore_strand, block), select, ties)
+    return over.select("query_idx", "subject_idx", F.lit(0).cast("bigint").alias("distance")).unionByName(apart.withColumn("distance", F.col("distance") + 1))
 
 
 def distance_of(q: str = "q_", s: str = "s_", ignore_strand: bool = False) -> Column:
