@@ -10,12 +10,15 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import give_back, written
 from .fm_index import FMIndex
 
 #: A-Z to lower case; what is no word byte (0-9, a-z, all of 0x80 and above) to a space.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 #: Characters of benchmark text in a block, indexed symbols in a shard, and text bytes read at once.
-BLOCK_CHARS, SHARD_SYMBOLS, READ_BYTES = 16 << 20, 1 << 20, 8 << 20
+BLOCK_CHARS, SHARD_SYMBOLS, READ_BYTES = 16 << 20, 1 << 20, 4 << 20
+#: Blocks searched before the documents are written in between.
+CHAIN = 8
 
 
 def words(text: bytes) -> list[bytes]:
@@ -99,7 +102,7 @@ def _blocks(benchmark: DataFrame, window: int, item_id: str, text: str) -> list[
     return out
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", keep: Column | None = None) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", keep: Column | None = None, cut: bool = False) -> DataFrame:
     """Words of benchmark windows in each row's whole text: id, n_words, n_hit, spans (word from, to), items (their ids, sorted as strings), and ``keep`` (any column; default null).
 
     Words are runs of bytes that are digits, letters or outside ASCII, A-Z lower-cased. A window is ``window`` words in a
@@ -120,19 +123,23 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, doc_i
     state = state.select("*", F.lit(0).cast("bigint").alias("n_words"), F.array().cast("array<bigint>").alias("hits"), F.array().cast("array<string>").alias("items"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in state.schema)
 
-    for block in _blocks(benchmark, window, item_id, item_text):
+    blocks = _blocks(benchmark, window, item_id, item_text)
+    for k, block in enumerate(blocks):
 
-        def run(batches: Iterator[pa.RecordBatch], block: Broadcast = block) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], block: Broadcast = block, cut: bool = cut and k == len(blocks) - 1) -> Iterator[pa.RecordBatch]:
             phrases = block.value
             for batch in batches:
                 size = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False))
                 lo = 0
                 while lo < batch.num_rows:
                     hi = max(int(np.searchsorted(size, (size[lo - 1] if lo else 0) + READ_BYTES, side="right")), lo + 1)
-                    yield _searched(batch.slice(lo, hi - lo), phrases)
+                    yield _searched(batch.slice(lo, hi - lo), phrases, cut)
                     lo = hi
+                give_back()
 
         state = state.mapInArrow(run, schema)
+        if k % CHAIN == CHAIN - 1:  # a plan of very many passes could not be run
+            state = written(state, "decontaminated")
 
     return state.select(
         "id",
@@ -145,8 +152,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, doc_i
     )
 
 
-def _searched(batch, phrases: Phrases):
-    """The batch with this block's spans (start and end packed into one number) and items added."""
+def _searched(batch, phrases: Phrases, cut: bool):
+    """The batch with this block's spans (start and end packed into one number) and items added, and cut out of the text if told."""
     import pyarrow as pa
 
     texts = batch.column(1).cast(pa.binary()).to_pylist()
@@ -162,41 +169,30 @@ def _searched(batch, phrases: Phrases):
             mine[x >> 31 : x & 0x7FFFFFFF] = True
         spans[k] = [a << 31 | b for a, b in _spans(mine)]
         names[k] = sorted({*names[k], *(phrases.item_ids[i] for i in items[k])})
-    columns = [*batch.columns[:3], pa.array(sizes), pa.array(spans, pa.list_(pa.int64())), pa.array(names, pa.list_(pa.string()))]
+    new_text = batch.column(1)
+    if cut:
+        new_text = pa.array([_without(t, s).encode() if s else t for t, s in zip(texts, spans, strict=True)], pa.binary()).cast(pa.string())
+    columns = [batch.column(0), new_text, batch.column(2), pa.array(sizes), pa.array(spans, pa.list_(pa.int64())), pa.array(names, pa.list_(pa.string()))]
     return pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
 
 def drop_passages(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """docs without benchmark passages: each span of hit words goes, with what stands between them, and the rest is joined by a space; all columns, other texts as they are."""
-    import pyarrow as pa
-
     others = [c for c in docs.columns if c != text]
     keep = F.struct(F.col(text).isNull().alias("__null"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)])
-    found = contamination(docs.withColumn("__id", F.lit(0)), benchmark, window, "__id", text, item_id, item_text, keep)
-    rows = found.select("keep", "text", "spans")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for k, s in enumerate(batch.column(2).to_pylist()):
-                if s:
-                    texts[k] = _without(texts[k], s)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["keep", "text"])
-
-    out = rows.mapInArrow(run, f"keep {rows.schema['keep'].dataType.simpleString()}, text string")
+    out = contamination(docs.withColumn("__id", F.lit(0)), benchmark, window, "__id", text, item_id, item_text, keep, cut=True)
     back = {c: F.col(f"keep.c{i}") for i, c in enumerate(others)} | {text: F.when(~F.col("keep.__null"), F.col("text"))}
     return out.select(*[back[c].alias(c) for c in docs.columns])
 
 
-def _without(text: str, spans: list[dict]) -> str:
-    """text without words start to end of each span."""
-    data = text.encode()
+def _without(data: bytes, spans: list[int]) -> str:
+    """The text without words start to end of each span (packed as above)."""
     word = np.frombuffer(data.translate(_FOLD), np.uint8) != 32
     edge = np.flatnonzero(np.diff(np.concatenate([[0], word.astype(np.int8), [0]]))).reshape(-1, 2)
     parts, at = [], 0
-    for s in spans:
-        parts.append(data[at : edge[s["start"], 0]])
-        at = int(edge[s["end"] - 1, 1])
+    for x in spans:
+        parts.append(data[at : edge[x >> 31, 0]])
+        at = int(edge[(x & 0x7FFFFFFF) - 1, 1])
     parts.append(data[at:])
     kept = [p.decode() for p in parts]
     return " ".join(k.strip() for k in kept if k.strip())

@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 
 from . import sketch
 from .align import similar
-from .common import small, written
+from .common import give_back, small, written
 from .components import components
 
 #: Text bytes that are sketched at once.
-READ_BYTES = 2 << 20
+READ_BYTES = 1 << 20
 
 
 def _slices(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
@@ -45,6 +45,7 @@ def sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
                 ends = np.concatenate([[0], np.cumsum(valid.sum(1))])
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(n), lists], ["id", "h1", "h2", "n", "keys"])
+            give_back()
 
     return _with_text(docs, doc_id, text).mapInArrow(run, "id bigint, h1 bigint, h2 bigint, n bigint, keys array<bigint>")
 
@@ -62,6 +63,7 @@ def _word_table(texts: DataFrame) -> DataFrame:
                 data, ends = words.astype("<u4").tobytes(), np.cumsum(n) * 4
                 runs = [data[a:b] for a, b in zip((ends - n * 4).tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(runs, pa.binary())], ["id", "words"])
+            give_back()
 
     return texts.mapInArrow(run, "id bigint, words binary")
 
@@ -168,7 +170,7 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, doc_id: str = "doc_id", t
     classes, rows = _classed(docs, similarity, doc_id, text)
     classes = written(classes, "class-rows")
     dropped = classes.where(F.col(doc_id) != F.col("class_id")).select(doc_id).distinct()
-    kept = docs.join(small(written(dropped, "dropped")), doc_id, "left_anti").select(*docs.columns)
+    kept = docs.join(small(written(dropped, "dropped")), doc_id, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
     if rows.where(F.col("id").isNotNull()).groupBy("id").count().where("count > 1").isEmpty():
         return kept
     first = Window.partitionBy("__key").orderBy("__hash")

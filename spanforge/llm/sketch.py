@@ -11,6 +11,7 @@ PAIR_BANDS, SINGLE_BANDS, SHORT = 24, 8, 64
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _BASE, _U = 0x9E3779B97F4A7C15 | 1, np.uint64
 _powers: dict[int, np.ndarray] = {}
+KEPT_POWERS = 3 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -21,14 +22,14 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _power(base: int, n: int) -> np.ndarray:
-    """base to the 0 .. n - 1, modulo 2 to the 64."""
+    """base to the 0 .. n - 1, modulo 2 to the 64. Kept for the next call unless it is long."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        size = 1 << max(n - 1, 1).bit_length()
-        have = np.full(size, base, np.uint64)
-        have[0] = 1
+        have = np.full(n + n // 16, base, np.uint64)
+        have[:1] = 1
         have = np.cumprod(have, dtype=np.uint64)
-        _powers[base] = have
+        if n <= KEPT_POWERS:
+            _powers[base] = have
     return have[:n]
 
 
@@ -92,11 +93,10 @@ def band_keys(grams: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndar
         return keys, valid
     size = sizes[some]
     starts = np.cumsum(size) - size
-    place_bits = _U(24)
     place = np.minimum(np.arange(len(grams)) - np.repeat(starts, size), (1 << 24) - 1).astype(np.uint64)
     top = _U(0xFFFFFFFFFFFFFFFF)
     for band in range(n_bands):
-        value = (mix(grams ^ mix(np.full(1, band + 1, np.uint64))) >> place_bits << place_bits) | place
+        value = (mix(grams ^ mix(np.full(1, band + 1, np.uint64))) >> _U(24) << _U(24)) | place
         least = np.minimum.reduceat(value, starts)
         one = (least & _U((1 << 24) - 1)).astype(np.int64)
         first = grams[starts + one]

@@ -10,21 +10,21 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_path, written
+from .common import give_back, shared_path, written
 from .huffman import Code, code_lengths
 from .sketch import mix, run_hashes
 
 #: Compressed bytes that a shard file aims at, and shards at most.
 SHARD_BYTES, MOST_SHARDS = 64 << 20, 1 << 16
-#: Text bytes that are encoded at once; working arrays take about a hundred times as much.
-READ_BYTES = 1 << 20
+#: Text bytes that are encoded, and ids that are coded, at once; working arrays take about a hundred times as much.
+READ_BYTES, CODE_IDS = 1 << 20, 1 << 18
 _encoders: dict[str, Encoder] = {}
 
 
 class WordTable:
     """Numbers of words known by a 64-bit hash, their length and their first eight bytes; open addressing in numpy arrays."""
 
-    def __init__(self, bits: int = 22):
+    def __init__(self, bits: int = 21):
         self.mask = (1 << bits) - 1
         self.hash = np.zeros(1 << bits, np.uint64)
         self.check = np.zeros(1 << bits, np.uint64)
@@ -74,7 +74,7 @@ class Encoder:
     MARKS = np.isin(np.arange(256), np.frombuffer(b",.!?;:#*$%&|", np.uint8))
     SPECIAL = (b"<|", b"\xcc", b"\xcd")
 
-    def __init__(self, path: str, most: int = 2_000_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -85,6 +85,7 @@ class Encoder:
         single = [(c, ids[0]) for c in self.SEPARATORS if len(ids := self.tokenizer.encode(c, add_special_tokens=False).ids) == 1]
         self.separator = single[0] if single else None
         self._forget()
+        give_back()
 
     def _forget(self) -> None:
         self.table, self.n_words = WordTable(), 0
@@ -219,6 +220,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end: int | None = None, doc_id: s
                 data, ends = ids.astype(kind).tobytes(), np.cumsum(sizes) * kind.itemsize
                 runs = [data[a:b] for a, b in zip((ends - sizes * kind.itemsize).tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sizes), pa.array(runs, pa.binary())], ["id", "tie", "n_tokens", "ids"])
+            give_back()
 
     return rows.mapInArrow(run, "id bigint, tie bigint, n_tokens bigint, ids binary")
 
@@ -241,6 +243,7 @@ def global_counts(ids: DataFrame) -> np.ndarray:
                 here = np.bincount(_ids(part, 1, part.column(0).to_numpy())[0])
                 total = _room(total, len(here)) if len(total) else np.zeros(len(here), np.int64)
                 total[: len(here)] += here
+        give_back()
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["id", "n"])
 
@@ -278,7 +281,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int | None = N
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Code(shared_code.value)
         for batch in batches:
-            for lo, hi in _groups(batch.column(2).to_numpy(), 1 << 19):
+            for lo, hi in _groups(batch.column(2).to_numpy(), CODE_IDS):
                 part = batch.slice(lo, hi - lo)
                 bits, marks = coder.encode(*_ids(part, 3, part.column(2).to_numpy()))
                 key, tie = part.column(0).fill_null(-(1 << 63)).to_numpy(), part.column(1).to_numpy()
@@ -287,6 +290,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int | None = N
                 shard = np.minimum(low + (share * (high - low + 1)).astype(np.int64), high)
                 packed = [m.astype("<u8").tobytes() for m in marks]
                 yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), part.column(0), part.column(1), part.column(2), pa.array(packed, pa.binary()), pa.array(bits, pa.binary())], ["shard", "id", "tie", "n_tokens", "marks", "bits"])
+            give_back()
 
     coded = ids.mapInArrow(run, "shard int, id bigint, tie bigint, n_tokens bigint, marks binary, bits binary")
     coded.repartitionById(n_shards, "shard").sortWithinPartitions("id", "tie").write.parquet(f"{path}/rows")
@@ -307,7 +311,7 @@ def decoded(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
 
         coder = Code(shared_code.value)
         for batch in batches:
-            for lo, hi in _groups(batch.column(3).to_numpy(), 1 << 19):
+            for lo, hi in _groups(batch.column(3).to_numpy(), CODE_IDS):
                 part = batch.slice(lo, hi - lo)
                 sizes = part.column(3).to_numpy()
                 marks = [np.frombuffer(m, "<u8") for m in part.column(4).to_pylist()]
@@ -320,6 +324,7 @@ def decoded(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
                     cols.append(pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(data, "<u4").astype(np.int64))))
                 names = ["shard", "id", "tie", "n_tokens", "ids_crc32", "ids"][: len(cols)]
                 yield pa.RecordBatch.from_arrays(cols, names)
+            give_back()
 
     more = ", ids array<bigint>" if with_ids else ""
     return spark.read.parquet(f"{path}/rows").mapInArrow(run, f"shard int, id bigint, tie bigint, n_tokens bigint, ids_crc32 bigint{more}")
