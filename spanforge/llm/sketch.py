@@ -6,7 +6,8 @@ import numpy as np
 
 SHINGLE = 5
 #: Bands of two shingles for every text; bands of one for texts of SHORT shingles at most, in which an edit hits most shingles.
-PAIR_BANDS, SINGLE_BANDS, SHORT = 24, 8, 64
+#: At Jaccard similarities of 0.2, 0.3 and 0.4 of the shingles (about 0.8, 0.86 and 0.9 of the words), 90, 99.5 and 99.99 % of pairs share a key.
+PAIR_BANDS, SINGLE_BANDS, SHORT = 56, 8, 64
 
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _BASE, _U = 0x9E3779B97F4A7C15 | 1, np.uint64
@@ -95,8 +96,13 @@ def band_keys(grams: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndar
     starts = np.cumsum(size) - size
     place = np.minimum(np.arange(len(grams)) - np.repeat(starts, size), (1 << 24) - 1).astype(np.uint64)
     top = _U(0xFFFFFFFFFFFFFFFF)
+    factors = mix(np.arange(1, n_bands + 1, dtype=np.uint64)) | _U(1)
+    value = np.empty_like(grams)
     for band in range(n_bands):
-        value = (mix(grams ^ mix(np.full(1, band + 1, np.uint64))) >> _U(24) << _U(24)) | place
+        # grams are scattered already, so the high bits of a product with a band's odd factor order them anew
+        np.multiply(grams, factors[band], out=value)
+        value &= _U(0xFFFFFFFFFF000000)
+        value |= place
         least = np.minimum.reduceat(value, starts)
         one = (least & _U((1 << 24) - 1)).astype(np.int64)
         first = grams[starts + one]
