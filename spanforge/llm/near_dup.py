@@ -15,6 +15,10 @@ from .components import components
 
 #: Text bytes that are sketched at once.
 READ_BYTES = 1 << 20
+#: Rounds in which larger buckets get a leader before what is left is compared in full, and members that make one large.
+ROUNDS, LARGE = 4, 16
+#: Members of a bucket that one task compares to as many others, and counters of a bag of words.
+BLOCK, COUNTERS = 512, 256
 
 
 def _slices(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
@@ -93,10 +97,11 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, doc_id: str = "doc
     share a band of Order MinHash over occurrence-labelled five-word shingles (see ``sketch``), and only what a banded
     alignment of whole texts confirms is linked.
 
-    Within a band's bucket members are compared to a leader, the least id, not to each other. Where that found a link,
-    members that are not in the leader's class get a new leader among themselves, and so on, until a leader finds none: a
-    bucket of g texts costs about g comparisons a round, whatever it holds. A bucket whose leader is like nobody in it is
-    left: it holds texts that share a passage, and texts that are alike meet in other buckets, too.
+    Within a band's bucket members are compared to a leader, the least id, first; members that are not in its class get a
+    new one, for a few rounds, at about g comparisons a round for a bucket of g texts. That unites large classes. Then all
+    pairs of a bucket that are still in different classes are compared: those whose lengths or bags of words (an exact
+    bound of the edit distance) do not rule it out, by alignment. So whatever leads a bucket, no two of its texts that are
+    alike stay apart. A bucket that holds many classes costs the square of its members in bounds, in blocks of equal size.
 
     A null or wordless text is a class of its own (class_id: its doc_id). Rows that share a doc_id share a class. A null doc_id has no class (null). Further
     columns are ignored. An empty table gives no rows.
@@ -124,15 +129,18 @@ def _classed(docs: DataFrame, similarity: float, doc_id: str, text: str) -> tupl
     same_id = _ids_of_many_texts(rows)
     links = written(verified(pairs, words, similarity).union(same_id), "verified")
     roots = components(links)
-    new = links
-    while True:
-        fruitful = members.join(new, (members.leader == new.a) & (members.id == new.b), "left_semi").select("key").distinct()
-        members = written(_unresolved(members.join(fruitful, "key", "left_semi"), roots), "members")
-        again = members.where(near & (F.col("id") != F.col("leader"))).select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
+    merged = lambda new: components(new.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    left = members
+    for turn in range(1, ROUNDS):
+        left = written(_unresolved(left, roots, turn), "members")
+        again = left.where(near & (F.col("id") != F.col("leader"))).select(F.least("leader", "id").alias("a"), F.greatest("leader", "id").alias("b")).distinct()
+        again = written(again.join(pairs, ["a", "b"], "left_anti"), "pairs")
         new = written(verified(again, words, similarity), "verified")
         if new.isEmpty():
             break
-        roots = components(new.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+        roots, pairs = merged(new), pairs.union(again)
+    apart = written(_apart(members, roots, words, similarity).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    roots = merged(written(verified(apart, words, similarity), "verified"))
 
     classes = texts.join(roots, texts.id == roots.node, "left").select("h1", "h2", F.coalesce("root", "id").alias("class_id"), "copies")
     sizes = classes.groupBy("class_id").agg(F.sum("copies").alias("class_size"))
@@ -156,15 +164,99 @@ def _ids_of_many_texts(rows: DataFrame) -> DataFrame:
     return held.join(shared, "id", "left_semi").join(least, ["h1", "h2"]).select("a", F.col("id").alias("b"))
 
 
-def _unresolved(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """Members that are not in their leader's class, with a new leader: the least of them."""
+def _unresolved(members: DataFrame, roots: DataFrame, turn: int) -> DataFrame:
+    """Members that are not in their leader's class, with a new leader, any of them, where more than LARGE are left."""
     of = lambda name: roots.select(F.col("node").alias(name), F.col("root").alias(f"{name}_root"))
     placed = members.join(of("id"), "id", "left").join(of("leader"), "leader", "left")
     apart = placed.where(F.coalesce("id_root", "id") != F.coalesce("leader_root", "leader")).select("key", "id", "n")
-    leaders = apart.groupBy("key").agg(F.min(F.struct("id", "n")).alias("x"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    any_of = F.min(F.struct(F.xxhash64("id", "key", F.lit(turn)), "id", "n"))
+    leaders = apart.groupBy("key").agg(any_of.alias("x"), F.count(F.lit(1)).alias("size")).where(F.col("size") > LARGE)
     return apart.join(leaders.select("key", F.col("x.id").alias("leader"), F.col("x.n").alias("leader_n")), "key")
 
 
+def _apart(members: DataFrame, roots: DataFrame, words: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) of a bucket that are in different classes and that lengths and bags of words leave possible."""
+    leaders = members.select("key", F.col("leader").alias("id"), F.col("leader_n").alias("n")).distinct()
+    placed = members.select("key", "id", "n").union(leaders).join(roots.withColumnRenamed("node", "id"), "id", "left")
+    placed = written(placed.select("key", "id", "n", F.coalesce("root", "id").alias("root")), "placed")
+    # buckets of the same members are one
+    same = [F.sum(F.xxhash64("id", F.lit(k)).cast("decimal(38,0)")).alias(f"s{k}") for k in (1, 2)]
+    open_ = placed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi"), *same).where("lo < hi")
+    open_ = open_.groupBy("size", "s1", "s2").agg(F.min("key").alias("key"))
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    rows = placed.join(open_.select("key", blocks.alias("blocks")), "key").withColumn("block", F.expr("cast(pmod(xxhash64(id), blocks) as int)"))
+    rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "n", "root")
+    rows = rows.join(_bags(words), "id").select("key", "i", "j", "block", "id", "n", "root", "bag")
+    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "n")
+    return rows.mapInArrow(lambda batches: _possible(batches, least), "a bigint, b bigint").distinct()
+
+
+def _bags(words: DataFrame) -> DataFrame:
+    """id and bag of each text: how many words fall on each counter, up to 255."""
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = [np.bincount(np.frombuffer(x.as_py(), "<u4") % COUNTERS, minlength=COUNTERS) for x in batch.column(1)]
+            bags = [np.minimum(c, 255).astype(np.uint8).tobytes() for c in counts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bags, pa.binary())], ["id", "bag"])
+
+    return words.mapInArrow(run, "id bigint, bag binary")
+
+
+def _possible(batches: Iterator, least: float) -> Iterator:
+    """Pairs of each run of rows (key, i, j, block, id, n, root, bag; by rising n) with equal key, i and j."""
+    import pyarrow as pa
+
+    held: list[pa.RecordBatch] = []
+
+    def pairs(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(parts)
+        key, i, j, block, ids, n, root = (table.column(k).to_numpy() for k in range(7))
+        bags = np.frombuffer(b"".join(table.column(7).to_pylist()), np.uint8).reshape(-1, COUNTERS)
+        new = np.flatnonzero((np.diff(key) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
+        a, b = [], []
+        for lo, hi in zip([0, *new.tolist()], [*new.tolist(), len(key)], strict=True):
+            x, y = possible(ids[lo:hi], n[lo:hi], root[lo:hi], bags[lo:hi], block[lo:hi] if i[lo] != j[lo] else None, least)
+            a.append(x)
+            b.append(y)
+        a, b = np.concatenate(a), np.concatenate(b)
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        last = [batch.column(k).to_numpy() for k in range(3)]
+        cut = int(np.flatnonzero(np.logical_or.reduce([x != x[-1] for x in last]))[-1]) + 1 if any((x != x[-1]).any() for x in last) else 0
+        if cut or (held and any(held[-1].column(k)[-1].as_py() != last[k][-1] for k in range(3))):
+            yield pairs([*held, batch.slice(0, cut)])
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        yield pairs(held)
+
+
+def possible(ids: np.ndarray, n: np.ndarray, root: np.ndarray, bags: np.ndarray, block: np.ndarray | None, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of texts by rising n, of different roots (and blocks), whose edit similarity may be ``least``: words of the longer one that the shorter one lacks are edits."""
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    most = ((1 - least) * n + 1e-9).astype(np.int64)
+    shortest = n - most
+    size = bags.sum(1, dtype=np.int64)
+    for k in range(len(ids) - 1):
+        # shortest rises with n, so the longer texts that are near in length are the next ones
+        end = int(np.searchsorted(shortest, n[k], side="right"))
+        ok = root[k + 1 : end] != root[k]
+        if block is not None:
+            ok &= block[k + 1 : end] != block[k]
+        at = np.flatnonzero(ok) + k + 1
+        if len(at):
+            at = at[size[at] - np.minimum(bags[at], bags[k]).sum(1, dtype=np.uint16) <= most[at]]
+            a.append(np.full(len(at), ids[k]))
+            b.append(ids[at])
+    return np.concatenate(a), np.concatenate(b)
+
+
 def keep_one(docs: DataFrame, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one row of each class of ``near_duplicates``: that with the least doc_id. Rows without a doc_id stay; of rows that share one, that with the least hash of its columns stays."""
     classes, rows = _classed(docs, similarity, doc_id, text)

@@ -211,6 +211,35 @@ def test_near_duplicates(spark, edges):
     assert kept.columns == edges.columns and kept.count() == len(EDGES) - 1
 
 
+def test_possible_pairs_leave_out_no_similar_pair():
+    rnd = random.Random(6)
+    texts = []
+    for _ in range(30):
+        base = [f"w{rnd.randrange(60)}" for _ in range(rnd.choice([4, 30, 300, 3000]))]
+        texts += [np.array([zlib.crc32(w.encode()) for w in edited(rnd, base, rnd.choice([0, 0.05, 0.2]))] or [1], np.uint32) for _ in range(3)]
+    texts.sort(key=len)
+    n, ids = np.array([len(t) for t in texts]), np.arange(len(texts))
+    bags = np.array([np.minimum(np.bincount(t % 256, minlength=256), 255) for t in texts], np.uint8)
+    got = set(zip(*(x.tolist() for x in near_dup.possible(ids, n, ids, bags, None, 0.8)), strict=True))
+    want = {(a, b) for b in range(len(texts)) for a in range(b) if n[b] <= 1.3 * n[a] and similar(texts[a], texts[b], 0.8)}
+    assert want and want <= got and len(got) < len(texts) ** 2 / 8
+
+
+def test_near_duplicates_in_buckets_led_by_others(spark):
+    """Letters that share a passage and are alike, where texts of lower ids that share it, too, are like none of them."""
+    rnd = random.Random(5)
+    fresh = lambda n: [f"f{rnd.randrange(10**9)}" for _ in range(n)]
+    passage = [f"p{i}" for i in range(320)]
+    rows = [(i, " ".join(fresh(150 + 5 * i) + passage + fresh(150))) for i in range(40)] + [(i, " ".join(passage + fresh(60))) for i in range(40, 60)]
+    got = {r.doc_id: r.class_id for r in near_dup.op1_query(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    words = {d: sketch.word_hashes([t.encode()])[0].astype(np.uint32) for d, t in rows}
+    want = {d: d for d, _ in rows}
+    for a, b in ((a, b) for a in words for b in words if a < b and similar(words[a], words[b], 0.8)):
+        x, y = sorted((want[a], want[b]))
+        want = {d: x if c == y else c for d, c in want.items()}
+    assert all(want[d] == 40 for d in range(40, 60)) and got == want
+
+
 def test_near_duplicates_against_brute_force(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     words = {r.doc_id: sketch.word_hashes([r.text.lower().encode()])[0].astype(np.uint32) for r in docs.collect()}
