@@ -295,6 +295,8 @@ _add("u7_parallel_intersect", lambda spark, sf: setops.parallel_intersect(orders
 _add("u8_parallel_setdiff", lambda spark, sf: setops.parallel_setdiff(orders(spark, sf), _near(spark, sf)), _rows("s", "CASE WHEN e >= s + 15 THEN s + 14 ELSE e END"))
 _add("u9_parallel_setdiff_list", lambda spark, sf: setops.parallel_setdiff_list(parts(spark, sf).where("idx < 400"), parts(spark, sf).withColumn("start", (F.col("start") + 2).cast("int")).withColumn("end", F.least("end", F.col("start") + 1)).withColumn("group", F.col("idx"))),
      _W + ", x AS (SELECT idx, seqnames, strand, unnest(range(s, e + 1)) AS pos, s, e FROM p WHERE idx < 400), d AS (SELECT * FROM x WHERE NOT (pos BETWEEN s + 2 AND least(e, s + 3))), k AS (SELECT *, pos - row_number() OVER (PARTITION BY idx ORDER BY pos) AS k FROM d), r AS (SELECT idx, seqnames, CAST(min(pos) AS INTEGER) AS \"start\", CAST(max(pos) AS INTEGER) AS \"end\", strand FROM k GROUP BY idx, seqnames, strand, k) SELECT *, CAST(row_number() OVER (PARTITION BY idx ORDER BY \"start\") AS INTEGER) AS piece FROM r")
+_add("u9_parallel_setdiff_list_whole", lambda spark, sf: setops.parallel_setdiff_list(parts(spark, sf), parts(spark, sf).withColumn("start", (F.col("start") + 2).cast("int")).withColumn("end", F.least("end", F.col("start") + 1)).withColumn("group", F.col("idx"))),
+     _W + ", x AS (SELECT idx, seqnames, strand, unnest(range(s, e + 1)) AS pos, s, e FROM p), d AS (SELECT * FROM x WHERE NOT (pos BETWEEN s + 2 AND least(e, s + 3))), k AS (SELECT *, pos - row_number() OVER (PARTITION BY idx ORDER BY pos) AS k FROM d), r AS (SELECT idx, seqnames, CAST(min(pos) AS INTEGER) AS \"start\", CAST(max(pos) AS INTEGER) AS \"end\", strand FROM k GROUP BY idx, seqnames, strand, k) SELECT *, CAST(row_number() OVER (PARTITION BY idx ORDER BY \"start\") AS INTEGER) AS piece FROM r")
 _add("u10_parallel_gap", lambda spark, sf: setops.parallel_gap(orders(spark, sf), intra.shift(orders(spark, sf), 100)), _rows("e + 1", "s + 99"))
 _add("u11_all_comparable", lambda spark, sf: setops.all_comparable(orders(spark, sf), parts(spark, sf)), _W + f"SELECT bool_and(a.seqnames = b.seqnames AND {_OK}) AS comparable {_PAIR}")
 _add("j16_subtract", lambda spark, sf: setops.subtract(orders(spark, sf), parts(spark, sf)).select("idx", "seqnames", "start", "end", "strand"),
