@@ -265,6 +265,13 @@ _D = f", d AS (SELECT idx, seqnames, CASE WHEN {_MINUS} THEN s % 50 - 4 ELSE s %
 _add("j14_match", lambda spark, sf: compare.match(_odd(spark, sf), _odd(spark, sf).where("idx % 7 = 0")), _W + _D + f"SELECT a.idx, min(b.idx) AS match_idx FROM d a LEFT JOIN (SELECT * FROM d WHERE idx % 7 = 0) b ON {_EQ} GROUP BY 1")
 _add("j14_is_in", lambda spark, sf: compare.is_in(_odd(spark, sf), _odd(spark, sf).where("idx % 700 = 0")).select("idx"), _W + _D + f"SELECT a.idx FROM d a WHERE EXISTS (SELECT 1 FROM d b WHERE idx % 700 = 0 AND {_EQ})")
 _add("j15_merge_tables", lambda spark, sf: compare.merge_tables(_odd(spark, sf), _odd(spark, sf).where("idx % 500 = 0")), _W + _D + f'SELECT a.seqnames, a.strand, a.s AS "start", a.e AS "end", a.idx AS idx_x, b.idx AS idx_y FROM d a JOIN d b ON {_EQ} AND b.idx % 500 = 0')
+# Both tables whole: 32 neighbouring keys share a place, so that rows have several matches at every scale and the output stays in proportion
+_steps = lambda spark, sf: orders(spark, sf).withColumn("start", (F.floor(F.col("idx") / 32) * 5 + 1).cast("int")).withColumn("end", (F.col("start") + 4).cast("int"))
+_next = lambda spark, sf: intra.shift(_steps(spark, sf), 5)
+_T = ", x AS (SELECT idx, seqnames, CAST(idx // 32 * 5 + 1 AS INTEGER) AS s, CAST(idx // 32 * 5 + 5 AS INTEGER) AS e, strand FROM g), y AS (SELECT idx, seqnames, s + 5 AS s, e + 5 AS e, strand FROM x) "
+_add("j14_match_whole", lambda spark, sf: compare.match(_steps(spark, sf), _next(spark, sf)), _W + _T + f"SELECT a.idx, min(b.idx) AS match_idx FROM x a LEFT JOIN y b ON {_EQ} GROUP BY 1")
+_add("j14_is_in_whole", lambda spark, sf: compare.is_in(_steps(spark, sf), _next(spark, sf)).select("idx"), _W + _T + f"SELECT a.idx FROM x a WHERE EXISTS (SELECT 1 FROM y b WHERE {_EQ})")
+_add("j15_merge_tables_whole", lambda spark, sf: compare.merge_tables(_steps(spark, sf), _next(spark, sf)), _W + _T + f'SELECT a.seqnames, a.strand, a.s AS "start", a.e AS "end", a.idx AS idx_x, b.idx AS idx_y FROM x a JOIN y b ON {_EQ}')
 _CODE = """CASE WHEN a.s = b.s AND a.e = b.e THEN 0 WHEN a.e < b.s - 1 THEN -6 WHEN a.e = b.s - 1 AND a.s < b.s THEN -5 WHEN a.s > b.e + 1 THEN 6 WHEN a.s = b.e + 1 AND a.s > b.s THEN 5 WHEN a.s < b.s AND a.e < b.e THEN -4 WHEN a.s < b.s AND a.e = b.e THEN -3
  WHEN a.s < b.s THEN -2 WHEN a.s = b.s AND a.e < b.e THEN -1 WHEN a.s = b.s THEN 1 WHEN a.e < b.e THEN 2 WHEN a.e = b.e THEN 3 ELSE 4 END"""
 _sid = lambda t: _SID.replace("strand", f"{t}.strand")

@@ -10,7 +10,7 @@ from spanforge import catalog
 DATA = "/root/testdata/sf0.01"
 
 
-@pytest.mark.parametrize("name", ["u9_parallel_setdiff_list_whole"])
+@pytest.mark.parametrize("name", ["u9_parallel_setdiff_list_whole", "j14_match_whole", "j14_is_in_whole", "j15_merge_tables_whole"])
 def test_whole_tables(spark, name):
     con = duckdb.connect()
     for t in ("orders", "part"):
@@ -22,3 +22,5 @@ def test_whole_tables(spark, name):
     assert set(df.columns) == set(columns) and Counter(tuple(r) for r in rows) == want
     if name.startswith("u9"):
         assert sum(r.idx >= 400 for r in rows) > sum(r.idx < 400 for r in rows) > 0
+    if name.startswith("j15"):
+        assert {r.idx_y % 500 for r in rows} == set(range(500)) and max(Counter(r.idx_x for r in rows).values()) > 1
