@@ -1,4 +1,4 @@
-"""Edit distance of word sequences within a band, with numpy."""
+"""Edit distance of word sequences within a band, with numpy and whole numbers as bit vectors."""
 
 from __future__ import annotations
 
@@ -8,38 +8,67 @@ import numpy as np
 
 _K = np.uint64(0x9E3779B97F4A7C15)
 RUN = 3
+#: Words of one side that a bit vector holds, and cells of the largest gap between anchors that is aligned exactly at first.
+BITS, GAP_CELLS = 4096, 1 << 24
 
 
 def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
     """Whether 1 - edit distance / longer length is ``least`` or more. Exact.
 
-    An alignment along runs of RUN words that occur once on either side, within the band of diagonals that the allowed
-    edits can reach, mostly proves it; words that one side lacks mostly disprove it; what is left is decided by the
-    banded dynamic programme.
+    Words and runs of RUN words that one side lacks mostly disprove it (an edit costs at most RUN runs); an alignment
+    along runs that occur once on either side, within the band of diagonals that the allowed edits can reach, mostly
+    proves it; what is left is decided by the banded alignment. Its time is a step for each word and each BITS words of
+    the band, its memory in proportion to the texts: two texts of a million words take minutes where all else fails.
     """
     n = max(len(a), len(b))
     most = int((1 - least) * n + 1e-9)
     if abs(len(a) - len(b)) > most:
         return False
+    a, b = _trimmed(a, b)
+    n = max(len(a), len(b))
+    if n <= most or not min(len(a), len(b)):
+        return n <= most
     if n - _shared(a, b) > most:
         return False
+    if n <= BITS // 8:
+        return _banded(a, b, most)
+    if n - RUN + 1 - _shared(_runs(a), _runs(b)) > RUN * most:
+        return False
     return _anchored(a, b, most) <= most or _banded(a, b, most)
 
 
+def _trimmed(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both without the words that they begin and end with alike: these cost nothing in some best alignment."""
+    for _ in range(2):
+        k = min(len(a), len(b))
+        other = np.flatnonzero(a[:k] != b[:k])
+        k = int(other[0]) if len(other) else k
+        a, b = a[k:][::-1], b[k:][::-1]
+    return a, b
+
+
 def _shared(a: np.ndarray, b: np.ndarray) -> int:
+    """Values that both hold, as often as both hold them."""
+    if not len(a) or not len(b):
+        return 0
     ua, ca = np.unique(a, return_counts=True)
     ub, cb = np.unique(b, return_counts=True)
-    at = np.minimum(np.searchsorted(ub, ua), len(ub) - 1) if len(ub) else np.zeros(0, np.int64)
-    return int(np.where(ub[at] == ua, np.minimum(ca, cb[at]), 0).sum()) if len(ub) else 0
+    at = np.minimum(np.searchsorted(ub, ua), len(ub) - 1)
+    return int(np.where(ub[at] == ua, np.minimum(ca, cb[at]), 0).sum())
 
 
-def _once(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of runs that occur once, sorted, and where they start."""
+def _runs(x: np.ndarray) -> np.ndarray:
+    """Hashes of the runs of RUN words."""
     y = x.astype(np.uint64)
-    runs = y[: len(y) - RUN + 1].copy()
+    runs = y[: max(len(y) - RUN + 1, 0)].copy()
     for k in range(1, RUN):
-        runs = (runs ^ (runs >> np.uint64(29))) * _K + y[k : len(y) - RUN + 1 + k]
-    value, at, count = np.unique(runs, return_index=True, return_counts=True)
+        runs = (runs ^ (runs >> np.uint64(29))) * _K + y[k : max(len(y) - RUN + 1, 0) + k]
+    return runs
+
+
+def _once(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of runs that occur once, sorted, and where they start."""
+    value, at, count = np.unique(_runs(x), return_index=True, return_counts=True)
     return value[count == 1], at[count == 1]
 
 
@@ -57,7 +86,7 @@ def _anchored(a: np.ndarray, b: np.ndarray, most: int) -> int:
     i, j = np.concatenate([[-1], i, [len(a)]]), np.concatenate([[-1], j, [len(b)]])
     cost = 0
     for k in np.flatnonzero((np.diff(i) > 1) | (np.diff(j) > 1)).tolist():
-        cost += _gap(a[i[k] + 1 : i[k + 1]].tolist(), b[j[k] + 1 : j[k + 1]].tolist())
+        cost += _gap(a[i[k] + 1 : i[k + 1]], b[j[k] + 1 : j[k + 1]])
         if cost > most:
             break
     return cost
@@ -86,40 +115,73 @@ def _rising(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return i[pick], j[pick]
 
 
-def _gap(x: list[int], y: list[int]) -> int:
-    while x and y and x[-1] == y[-1]:
-        x.pop(), y.pop()
-    k = 0
-    while k < min(len(x), len(y)) and x[k] == y[k]:
-        k += 1
-    x, y = x[k:], y[k:]
-    if not x or not y or len(x) * len(y) > 4096:
-        return max(len(x), len(y))
-    row = list(range(len(y) + 1))
-    for n, u in enumerate(x, 1):
-        diagonal, row[0] = row[0], n
-        for m, v in enumerate(y, 1):
-            diagonal, row[m] = row[m], min(row[m] + 1, row[m - 1] + 1, diagonal + (u != v))
-    return row[-1]
+def _gap(x: np.ndarray, y: np.ndarray) -> int:
+    """The edit distance of a small gap, an upper bound of that of a large one."""
+    x, y = _trimmed(x, y)
+    n, m = len(x), len(y)
+    if min(n, m) <= 1:
+        return max(n, m) - int(min(n, m) == 1 and bool((x == y[0]).any() if m == 1 else (y == x[0]).any()))
+    return max(n, m) if n * m > GAP_CELLS else _distance(x, y, max(n, m))
 
 
 def _banded(a: np.ndarray, b: np.ndarray, most: int) -> bool:
     """Whether the edit distance is at most ``most``, over the diagonals it can reach."""
-    width, far = 2 * most + 1, len(a) + len(b) + 1
-    column = np.arange(-most, most + 1)
-    row = np.where((column >= 0) & (column <= len(b)), column, far)
-    steps = np.arange(width)
-    padded = np.concatenate([np.full(most + 1, -1, np.int64), b.astype(np.int64), np.full(2 * most + 2, -1, np.int64)])
-    for n in range(1, len(a) + 1):
-        at = column + n  # words of b before each cell
-        above = np.concatenate([row[1:], [far]]) + 1
-        here = padded[n : n + width] != a[n - 1]
-        best = np.minimum(above, row + here)
-        best = np.where((at >= 0) & (at <= len(b)), best, far)
-        if n <= most:
-            best[most - n] = n
-        row = np.minimum.accumulate(best - steps) + steps
-        row = np.where((at >= 0) & (at <= len(b)), row, far)
-        if row.min() > most:
-            return False
-    return bool(row[len(b) - len(a) + most] <= most)
+    return _distance(a, b, most) <= most
+
+
+def _distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
+    """The edit distance if it is at most ``most``, else some number above ``most``.
+
+    Bit-parallel dynamic programme: a block of BITS words of ``a`` is one bit vector of differences between neighbours
+    in a column, advanced over the columns (words of ``b``) of the band; the differences along its last row go on to the
+    next block. Cells outside the band enter as a rise of one for each step from the band's edge, which is never less
+    than the truth, so whatever is found to be at most ``most`` is exact.
+    """
+    n, m = len(a), len(b)
+    if not n or not m or abs(n - m) > most:
+        return max(n, m) if not n or not m else most + 1
+    _, codes = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = codes[:n].tolist(), codes[n:].tolist()
+    # of the row above a block: values left of each column from ``first`` on, and the rise at each
+    first, above, rises = 0, 0, [1] * min(m, BITS + most)
+    for lo in range(0, n, BITS):
+        hi = min(lo + BITS, n)
+        begin, end = max(lo - most, 0), min(hi + most, m)
+        corner = above + sum(rises[: begin - first])
+        tops = rises[begin - first :]
+        tops += [1] * (end - begin - len(tops))
+        first, above, rises = begin, corner + hi - lo, _advance(_masks(x[lo:hi]), y[begin:end], tops, hi - lo)
+        if above + min(int(np.cumsum(rises).min(initial=0)), 0) > most:
+            return most + 1
+    return above + sum(rises)
+
+
+def _masks(x: list[int]) -> dict[int, int]:
+    """For each value the places that hold it, as bits."""
+    out: dict[int, int] = {}
+    bit = 1
+    for v in x:
+        out[v] = out.get(v, 0) | bit
+        bit <<= 1
+    return out
+
+
+def _advance(masks: dict[int, int], words: list[int], tops: list[int], size: int) -> list[int]:
+    """The differences along the last row of a block of ``size`` rows, from those along the row above it; the block's left column rises by one each row."""
+    full = (1 << size) - 1
+    last = 1 << (size - 1)
+    up, down, out = full, 0, []
+    for w, top in zip(words, tops, strict=True):
+        equal = masks.get(w, 0)
+        vertical = equal | down
+        if top < 0:
+            equal |= 1
+        across = (((equal & up) + up) ^ up) | equal
+        more = down | (full & ~(across | up))
+        less = up & across
+        out.append(1 if more & last else -1 if less & last else 0)
+        more = (more << 1) | (top > 0)
+        less = (less << 1) | (top < 0)
+        up = full & (less | ~(vertical | more))
+        down = full & more & vertical
+    return out

@@ -48,6 +48,31 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+#: A key with more than one in SHARES of all rows, and with FEW at least, is joined apart from the others.
+SHARES, FEW = 2000, 1000
+
+
+def spread_join(rows: DataFrame, keyed: DataFrame, on: list[str], n: str) -> DataFrame:
+    """The inner join of rows with keyed, which has one row per key and in column ``n`` how many rows have it.
+
+    Keys with a large share of the rows would each be one task; there are at most SHARES of these, so they are broadcast
+    and their rows stay where they are. keyed should be cheap to read again (written).
+    """
+    most = max((keyed.agg(F.sum(n)).first()[0] or 0) // SHARES, FEW)
+    hot = keyed.where(F.col(n) > most)
+    if hot.isEmpty():
+        return rows.join(keyed, on)
+    cold = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(keyed.where(F.col(n) <= most), on)
+    return rows.join(F.broadcast(hot), on).union(cold)
+
+
+def whole_ids(docs: DataFrame, doc_id: str) -> None:
+    """Refuse ids that are not whole numbers: they are ordered and linked as such."""
+    kind = docs.schema[doc_id].dataType.typeName()
+    if kind not in ("byte", "short", "integer", "long"):
+        raise TypeError(f"{doc_id} must be a whole number, not {kind}")
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once per row, however often the body uses it."""
     return F.element_at(F.transform(F.array(value), body), 1)

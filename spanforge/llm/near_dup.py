@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import sketch
 from .align import similar
-from .common import give_back, small, written
+from .common import give_back, small, spread_join, whole_ids, written
 from .components import components
 
 #: Text bytes that are sketched at once.
@@ -18,7 +18,7 @@ READ_BYTES = 1 << 20
 #: Rounds in which larger buckets get a leader before what is left is compared in full, and members that make one large.
 ROUNDS, LARGE = 4, 16
 #: Members of a bucket that one task compares to as many others, and counters of a bag of words.
-BLOCK, COUNTERS = 512, 256
+BLOCK, COUNTERS = 2048, 1024
 
 
 def _slices(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
@@ -44,9 +44,9 @@ def sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
                 part = batch.slice(lo, hi - lo)
                 words, n = sketch.word_hashes(part.column(1).cast(pa.binary()).to_pylist())
                 h1, h2 = sketch.text_hashes(words, n)
-                keys, valid = sketch.band_keys(*sketch.shingles(words, n))
-                flat = pa.array(keys.view(np.int64)[valid])
-                ends = np.concatenate([[0], np.cumsum(valid.sum(1))])
+                keys = sketch.band_keys(*sketch.shingles(words, n))
+                flat = pa.array(keys.view(np.int64).ravel())
+                ends = np.concatenate([[0], np.cumsum((n > 0) * keys.shape[1])])
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(n), lists], ["id", "h1", "h2", "n", "keys"])
             give_back()
@@ -103,27 +103,30 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, doc_id: str = "doc
     bound of the edit distance) do not rule it out, by alignment. So whatever leads a bucket, no two of its texts that are
     alike stay apart. A bucket that holds many classes costs the square of its members in bounds, in blocks of equal size.
 
-    A null or wordless text is a class of its own (class_id: its doc_id). Rows that share a doc_id share a class. A null doc_id has no class (null). Further
-    columns are ignored. An empty table gives no rows.
+    Ids are whole numbers (else TypeError). A null or wordless text is a class of its own (class_id: its doc_id). Rows
+    that share a doc_id share a class. A null doc_id has no class (null). Further columns are ignored. An empty table
+    gives no rows.
     """
     return _classed(docs, similarity, doc_id, text)[0]
 
 
 def _classed(docs: DataFrame, similarity: float, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    whole_ids(docs, doc_id)
     rows = written(sketches(docs, doc_id, text), "sketches")
+    classed = F.col("id").isNotNull() & (F.col("n") > 0)
     best = F.min(F.struct("id", "n", "keys"))
-    texts = rows.where(F.col("id").isNotNull() & (F.col("n") > 0)).groupBy("h1", "h2").agg(best.alias("x"), F.count(F.lit(1)).alias("copies"))
+    texts = rows.where(classed).groupBy("h1", "h2").agg(best.alias("x"), F.count(F.lit(1)).alias("copies"))
     texts = written(texts.select("h1", "h2", "x.id", "x.n", "x.keys", "copies"), "texts")
 
     entries = texts.select("id", "n", F.explode("keys").alias("key"))
     leaders = entries.groupBy("key").agg(F.min(F.struct("id", "n")).alias("x"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    leaders = leaders.select("key", F.col("x.id").alias("leader"), F.col("x.n").alias("leader_n"))
-    members = written(entries.join(leaders, "key").where(F.col("id") != F.col("leader")), "members")
+    leaders = written(leaders.select("key", F.col("x.id").alias("leader"), F.col("x.n").alias("leader_n"), "size"), "leaders")
+    members = written(spread_join(entries, leaders, ["key"], "size").where(F.col("id") != F.col("leader")), "members")
 
     near = F.least("n", "leader_n") >= F.greatest("n", "leader_n") * similarity
     pairs = members.where(near).select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
     pairs = written(pairs, "pairs")
-    needed = members.select("id").union(members.select("leader")).distinct()
+    needed = members.select("id").union(leaders.select("leader")).distinct()
     words = written(_word_table(_with_text(docs, doc_id, text).join(small(written(needed, "needed")), "id", "left_semi")), "words")
 
     same_id = _ids_of_many_texts(rows)
@@ -132,28 +135,23 @@ def _classed(docs: DataFrame, similarity: float, doc_id: str, text: str) -> tupl
     merged = lambda new: components(new.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     left = members
     for turn in range(1, ROUNDS):
-        left = written(_unresolved(left, roots, turn), "members")
+        left = _unresolved(left, roots, turn)
         again = left.where(near & (F.col("id") != F.col("leader"))).select(F.least("leader", "id").alias("a"), F.greatest("leader", "id").alias("b")).distinct()
         again = written(again.join(pairs, ["a", "b"], "left_anti"), "pairs")
         new = written(verified(again, words, similarity), "verified")
         if new.isEmpty():
             break
         roots, pairs = merged(new), pairs.union(again)
-    apart = written(_apart(members, roots, words, similarity).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    apart = written(_apart(members, leaders, roots, words, similarity).join(pairs, ["a", "b"], "left_anti"), "pairs")
     roots = merged(written(verified(apart, words, similarity), "verified"))
 
-    classes = texts.join(roots, texts.id == roots.node, "left").select("h1", "h2", F.coalesce("root", "id").alias("class_id"), "copies")
-    sizes = classes.groupBy("class_id").agg(F.sum("copies").alias("class_size"))
-    classes = written(classes.join(sizes, "class_id").select("h1", "h2", "class_id", "class_size"), "classes")
-    lone = F.col("n") == 0
-    joined = rows.join(classes, ["h1", "h2"], "left")
-    out = joined.select(
-        F.col("id").alias(doc_id),
-        F.when(~F.col("id").isNull(), F.when(lone, F.col("id")).otherwise(F.col("class_id"))).alias("class_id"),
-        F.col("n").alias("n_words"),
-        F.when(~F.col("id").isNull(), F.when(lone, F.lit(1).cast("bigint")).otherwise(F.col("class_size"))).alias("class_size"),
-    )
-    return out, rows
+    classes = written(texts.join(roots, texts.id == roots.node, "left").select("h1", "h2", F.coalesce("root", "id").alias("class_id"), "copies"), "classes")
+    sizes = written(classes.groupBy("class_id").agg(F.sum("copies").alias("class_size"), F.count(F.lit(1)).alias("texts")), "sizes")
+    classes = written(spread_join(classes, sizes, ["class_id"], "texts").select("h1", "h2", "class_id", "class_size", "copies"), "classes")
+    out = spread_join(rows.where(classed), classes, ["h1", "h2"], "copies").select("id", "class_id", "n", "class_size")
+    one = F.when(F.col("id").isNotNull(), F.lit(1).cast("bigint"))
+    out = out.union(rows.where(~classed).select("id", F.col("id").alias("class_id"), "n", one.alias("class_size")))
+    return out.select(F.col("id").alias(doc_id), "class_id", F.col("n").alias("n_words"), "class_size"), rows
 
 
 def _ids_of_many_texts(rows: DataFrame) -> DataFrame:
@@ -166,25 +164,28 @@ def _ids_of_many_texts(rows: DataFrame) -> DataFrame:
 
 def _unresolved(members: DataFrame, roots: DataFrame, turn: int) -> DataFrame:
     """Members that are not in their leader's class, with a new leader, any of them, where more than LARGE are left."""
-    of = lambda name: roots.select(F.col("node").alias(name), F.col("root").alias(f"{name}_root"))
-    placed = members.join(of("id"), "id", "left").join(of("leader"), "leader", "left")
-    apart = placed.where(F.coalesce("id_root", "id") != F.coalesce("leader_root", "leader")).select("key", "id", "n")
+    led = members.groupBy("leader").agg(F.count(F.lit(1)).alias("rows")).join(roots, F.col("leader") == F.col("node"), "left")
+    led = written(led.select("leader", "rows", F.coalesce("root", "leader").alias("leader_root")), "led")
+    placed = members.select("key", "id", "n", "leader").join(roots.withColumnRenamed("node", "id"), "id", "left")
+    placed = spread_join(placed, led, ["leader"], "rows").where(F.coalesce("root", "id") != F.col("leader_root"))
+    apart = written(placed.select("key", "id", "n"), "unresolved")
     any_of = F.min(F.struct(F.xxhash64("id", "key", F.lit(turn)), "id", "n"))
     leaders = apart.groupBy("key").agg(any_of.alias("x"), F.count(F.lit(1)).alias("size")).where(F.col("size") > LARGE)
-    return apart.join(leaders.select("key", F.col("x.id").alias("leader"), F.col("x.n").alias("leader_n")), "key")
+    leaders = written(leaders.select("key", F.col("x.id").alias("leader"), F.col("x.n").alias("leader_n"), "size"), "leaders")
+    return written(spread_join(apart, leaders, ["key"], "size"), "members")
 
 
-def _apart(members: DataFrame, roots: DataFrame, words: DataFrame, least: float) -> DataFrame:
+def _apart(members: DataFrame, leaders: DataFrame, roots: DataFrame, words: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) of a bucket that are in different classes and that lengths and bags of words leave possible."""
-    leaders = members.select("key", F.col("leader").alias("id"), F.col("leader_n").alias("n")).distinct()
-    placed = members.select("key", "id", "n").union(leaders).join(roots.withColumnRenamed("node", "id"), "id", "left")
+    heads = leaders.select("key", F.col("leader").alias("id"), F.col("leader_n").alias("n"))
+    placed = members.select("key", "id", "n").union(heads).join(roots.withColumnRenamed("node", "id"), "id", "left")
     placed = written(placed.select("key", "id", "n", F.coalesce("root", "id").alias("root")), "placed")
     # buckets of the same members are one
     same = [F.sum(F.xxhash64("id", F.lit(k)).cast("decimal(38,0)")).alias(f"s{k}") for k in (1, 2)]
     open_ = placed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi"), *same).where("lo < hi")
     open_ = open_.groupBy("size", "s1", "s2").agg(F.min("key").alias("key"))
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    rows = placed.join(open_.select("key", blocks.alias("blocks")), "key").withColumn("block", F.expr("cast(pmod(xxhash64(id), blocks) as int)"))
+    open_ = written(open_.select("key", "size", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "open")
+    rows = spread_join(placed, open_, ["key"], "size").withColumn("block", F.expr("cast(pmod(xxhash64(id), blocks) as int)"))
     rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "n", "root")
     rows = rows.join(_bags(words), "id").select("key", "i", "j", "block", "id", "n", "root", "bag")

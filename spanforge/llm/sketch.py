@@ -5,9 +5,9 @@ from __future__ import annotations
 import numpy as np
 
 SHINGLE = 5
-#: Bands of two shingles for every text; bands of one for texts of SHORT shingles at most, in which an edit hits most shingles.
-#: At Jaccard similarities of 0.2, 0.3 and 0.4 of the shingles (about 0.8, 0.86 and 0.9 of the words), 90, 99.5 and 99.99 % of pairs share a key.
-PAIR_BANDS, SINGLE_BANDS, SHORT = 56, 8, 64
+#: Bands of two shingles and bands of one. At Jaccard similarities of 0.2, 0.3 and 0.4 of the shingles (about 0.8, 0.86
+#: and 0.9 of the words), 98, 99.97 and all but one in a million pairs share a key.
+PAIR_BANDS, SINGLE_BANDS = 56, 8
 
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _BASE, _U = 0x9E3779B97F4A7C15 | 1, np.uint64
@@ -82,40 +82,38 @@ def shingles(words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return mix(runs + occurrence * _U(0xA0761D6478BD642F)), n
 
 
-def band_keys(grams: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def band_keys(grams: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Order MinHash: for each text with shingles and each band, a hash of the least two shingles (one) under the band's hash function, in the order of the text.
 
-    Returns keys (texts by bands) and whether each counts.
+    Returns keys, texts with shingles by bands.
     """
     n_bands = PAIR_BANDS + SINGLE_BANDS
-    keys, valid = np.zeros((len(sizes), n_bands), np.uint64), np.zeros((len(sizes), n_bands), bool)
-    some = np.flatnonzero(sizes)
-    if not len(some):
-        return keys, valid
-    size = sizes[some]
+    size = sizes[sizes > 0]
+    keys = np.zeros((len(size), n_bands), np.uint64)
+    if not len(size):
+        return keys
     starts = np.cumsum(size) - size
-    place = np.minimum(np.arange(len(grams)) - np.repeat(starts, size), (1 << 24) - 1).astype(np.uint64)
+    place = (np.arange(len(grams)) - np.repeat(starts, size)).astype(np.uint64)
     top = _U(0xFFFFFFFFFFFFFFFF)
+    places = _U((1 << max(24, int(size.max()).bit_length())) - 1)
     factors = mix(np.arange(1, n_bands + 1, dtype=np.uint64)) | _U(1)
     value = np.empty_like(grams)
     for band in range(n_bands):
         # grams are scattered already, so the high bits of a product with a band's odd factor order them anew
         np.multiply(grams, factors[band], out=value)
-        value &= _U(0xFFFFFFFFFF000000)
+        value &= ~places
         value |= place
         least = np.minimum.reduceat(value, starts)
-        one = (least & _U((1 << 24) - 1)).astype(np.int64)
+        one = (least & places).astype(np.int64)
         first = grams[starts + one]
         if band < PAIR_BANDS:
             value[starts + one] = top
             second = np.minimum.reduceat(value, starts)
-            two = np.where(second == top, one, (second & _U((1 << 24) - 1)).astype(np.int64))
+            two = np.where(second == top, one, (second & places).astype(np.int64))
             other = grams[starts + two]
             swap = two < one
             first, other = np.where(swap, other, first), np.where(swap, first, other)
-            keys[some, band] = mix(mix(first * _U(_BASE) + _U(band)) + other)
-            valid[some, band] = True
+            keys[:, band] = mix(mix(first * _U(_BASE) + _U(band)) + other)
         else:
-            keys[some, band] = mix(first * _U(_BASE) + _U(band))
-            valid[some, band] = size <= SHORT
-    return keys, valid
+            keys[:, band] = mix(first * _U(_BASE) + _U(band))
+    return keys

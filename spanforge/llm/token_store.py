@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import give_back, shared_path, written
+from .common import give_back, shared_path, whole_ids, written
 from .huffman import Code, code_lengths
 from .sketch import mix, run_hashes
 
@@ -262,10 +262,11 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int | None = N
     canonical Huffman code of limited length from counts over all rows. A row's bits start on a byte, so rows are
     independent blocks, and decoding can start at any mark of a long one. Files are written by Spark's own writer, so a
     lost executor leaves nothing half-written. Texts are encoded once; only compressed ids are shuffled, dealt by
-    quantiles of doc_id; a value that many rows share is dealt on by hash.
+    quantiles of doc_id; a value that many rows share is dealt on by hash. Ids are whole numbers (else TypeError).
     """
     import pyarrow as pa
 
+    whole_ids(docs, doc_id)
     spark = docs.sparkSession
     ids = written(tokenized(docs, tokenizer, end, doc_id, text), "token-ids")
     counts = global_counts(ids)

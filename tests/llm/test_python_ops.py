@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from conftest import EDGES
 
-from spanforge.llm import decontam, near_dup, sketch, token_counts, token_store
+from spanforge.llm import align, common, decontam, near_dup, sketch, token_counts, token_store
 from spanforge.llm.align import _banded, similar
 from spanforge.llm.components import components
 from spanforge.llm.fm_index import FMIndex
@@ -149,8 +149,29 @@ def test_alignment():
         x, y = np.array(a, np.uint32), np.array(b, np.uint32)
         d, most = distance(a, b), int(0.2 * n + 1e-9)
         assert similar(x, y, 0.8) == (d <= most)
-        if abs(len(a) - len(b)) <= most:
-            assert _banded(x, y, most) == (d <= most)
+        assert _banded(x, y, most) == (d <= most)
+
+
+def test_alignment_in_blocks(monkeypatch):
+    rnd = random.Random(3)
+    for bits in (5, 16, 64):
+        monkeypatch.setattr(align, "BITS", bits)
+        for _ in range(500):
+            a = [rnd.randint(0, 5) for _ in range(rnd.randint(0, 60))]
+            b = [w for w in a if rnd.random() > 0.1]
+            b[3:3] = [rnd.randint(0, 9) for _ in range(rnd.randint(0, 8))]
+            x, y, d = np.array(a, np.uint32), np.array(b, np.uint32), distance(a, b)
+            for most in (d - 1, d, d + 3, d // 2):
+                got = align._distance(x, y, most) if most >= 0 else None
+                assert got is None or (got == d if d <= most else got > most)
+            assert similar(x, y, 0.8) == (d <= int(0.2 * max(len(a), len(b)) + 1e-9))
+
+
+def test_alignment_of_a_million_words():
+    rng = np.random.default_rng(7)
+    a = rng.integers(0, 50_000, 1_000_000).astype(np.uint32)
+    edited = lambda share: np.where(rng.random(len(a)) < share, rng.integers(0, 50_000, len(a)), a).astype(np.uint32)
+    assert similar(a, edited(0.1), 0.8) and not similar(a, edited(0.3), 0.8)
 
 
 def test_sketch_is_the_same_alone_and_together():
@@ -158,12 +179,12 @@ def test_sketch_is_the_same_alone_and_together():
     words, n = sketch.word_hashes(texts)
     assert n.tolist() == [7, 0, 1, 7, 2, 12, 0]
     h = sketch.text_hashes(words, n)[0]
-    keys, valid = sketch.band_keys(*sketch.shingles(words, n))
+    keys = dict(zip(np.flatnonzero(n).tolist(), sketch.band_keys(*sketch.shingles(words, n)), strict=True))
     assert h[0] == h[3] and (keys[0] == keys[3]).all() and len(set(h.tolist())) == 5
     for k, t in enumerate(texts):
         w, m = sketch.word_hashes([t])
-        one, v = sketch.band_keys(*sketch.shingles(w, m))
-        assert sketch.text_hashes(w, m)[0][0] == h[k] and (one[0] == keys[k]).all() and (v[0] == valid[k]).all()
+        one = sketch.band_keys(*sketch.shingles(w, m))
+        assert sketch.text_hashes(w, m)[0][0] == h[k] and ((one[0] == keys[k]).all() if m[0] else not len(one))
 
 
 def test_components(spark):
@@ -240,6 +261,36 @@ def test_near_duplicates_in_buckets_led_by_others(spark):
     assert all(want[d] == 40 for d in range(40, 60)) and got == want
 
 
+def test_near_copies_quoted_by_longer_texts_of_lower_ids(spark):
+    rnd = random.Random(8)
+    fresh = lambda n: [f"f{rnd.randrange(10**9)}" for _ in range(n)]
+    rows, want = [], []
+    for _ in range(12):
+        base = fresh(150)
+        rows += [" ".join(fresh(300) + base + fresh(300)) for _ in range(40)]
+        other = base[:]
+        other[40], other[100] = fresh(2)
+        want.append((len(rows), len(rows) + 1))
+        rows += [" ".join(base), " ".join(other)]
+    got = {r.doc_id: r.class_id for r in near_dup.op1_query(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert all(got[a] == got[b] == a for a, b in want) and len(set(got.values())) == len(rows) - 12
+
+
+def test_ids_that_are_not_whole_numbers_are_refused(spark):
+    docs = spark.createDataFrame([("a", "x")], "doc_id string, text string")
+    for query in (near_dup.op1_query, token_store.op10_query):
+        with pytest.raises(TypeError):
+            query(docs)
+
+
+def test_hot_keys_are_joined_apart(spark, monkeypatch):
+    monkeypatch.setattr(common, "FEW", 10)
+    rows = spark.createDataFrame([(k % 3 if k % 2 else 7, k) for k in range(200)], "k int, x int")
+    keyed = common.written(rows.where("k != 1").groupBy("k").count(), "keyed")
+    got = sorted(tuple(r) for r in common.spread_join(rows, keyed, ["k"], "count").select("k", "x", "count").collect())
+    assert got == sorted(tuple(r) for r in rows.join(keyed, "k").select("k", "x", "count").collect()) and len(got) > 100
+
+
 def test_near_duplicates_against_brute_force(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     words = {r.doc_id: sketch.word_hashes([r.text.lower().encode()])[0].astype(np.uint32) for r in docs.collect()}
