@@ -16,10 +16,9 @@ def _star(links: DataFrame, larger: bool) -> DataFrame:
         links = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = links.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
     joined = links.join(least, "a")
-    if larger:
-        out = joined.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-    else:
-        out = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
+    if larger:  # links found twice go in the small step
+        return joined.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+    out = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
     return out.where(F.col("a") != F.col("b")).distinct()
 
 
