@@ -22,9 +22,13 @@ _encoders: dict[str, Encoder] = {}
 
 
 class WordTable:
-    """Numbers of words known by a 64-bit hash, their length and their first eight bytes; open addressing in numpy arrays."""
+    """Numbers of words known by a 64-bit hash, their length and their first eight bytes; open addressing in numpy arrays, at most half full."""
 
-    def __init__(self, bits: int = 21):
+    def __init__(self, bits: int = 16):
+        self.n = 0
+        self._empty(bits)
+
+    def _empty(self, bits: int) -> None:
         self.mask = (1 << bits) - 1
         self.hash = np.zeros(1 << bits, np.uint64)
         self.check = np.zeros(1 << bits, np.uint64)
@@ -45,6 +49,11 @@ class WordTable:
 
     def add(self, h: np.ndarray, check: np.ndarray, number: np.ndarray) -> None:
         """Words that are not there, each once."""
+        self.n += len(h)
+        if 2 * self.n > self.mask:
+            there = np.flatnonzero(self.number >= 0)
+            h, check, number = (np.concatenate([old[there], new]) for old, new in ((self.hash, h), (self.check, check), (self.number, number)))
+            self._empty((2 * self.n).bit_length() + 1)
         todo = np.arange(len(h))
         slot = (h & np.uint64(self.mask)).astype(np.int64)
         while len(todo):
@@ -64,8 +73,9 @@ class Encoder:
     If its pre-tokenizer keeps only runs of letters, digits and other characters, a text's ids are those of its words one
     after the other, and a word may be cut between an ASCII letter and a mark of punctuation. A-Z are lower-cased first,
     unless the text holds combining accents (which join upper-case letters otherwise) or what may be a special token.
-    Words not seen before are encoded together, with a separator between them that is one token of its own. The memory
-    is emptied at ``most`` words.
+    Words not seen before are encoded together, with a separator between them that is one token of its own. Words are
+    told apart by 128 bits (a hash; length and first eight bytes). The memory is emptied at ``most`` words; it grows
+    beyond where one batch has more.
     """
 
     SEPARATORS = "~^`|§¤"

@@ -69,6 +69,23 @@ def test_encoder_gives_the_library_s_ids(rows):
     assert ids.tolist() == [i for t in texts[:20] for i in plain.tokenizer.encode(t, add_special_tokens=False).ids]
 
 
+def test_word_table_grows():
+    rng = np.random.default_rng(9)
+    table, n = token_store.WordTable(bits=4), 0
+    h, check = rng.integers(0, 1 << 20, 50_000).astype(np.uint64), rng.integers(0, 1 << 60, 50_000).astype(np.uint64)
+    for k in (1, 10, 5_000, 44_989):
+        table.add(h[n : n + k], check[n : n + k], np.arange(n, n + k, dtype=np.int32))
+        n += k
+        assert (table.find(h[:n], check[:n]) == np.arange(n)).all() and (table.find(h[n:], check[n:]) == -1).all()
+
+
+def test_more_words_than_are_remembered():
+    enc = token_store.Encoder(P.path("word_bpe_49k.json"), most=100)
+    text = " ".join(f"w{i:x}" for i in range(150_000))
+    for t in (text, "a b c", text):
+        assert enc.encode([t.encode()])[0].tolist() == enc.tokenizer.encode(t, add_special_tokens=False).ids
+
+
 def token_files(rows):
     from tokenizers import Tokenizer
 
