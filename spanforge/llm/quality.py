@@ -16,12 +16,12 @@ WINDOW = 8
 #: name: (measure, votes bad at, votes good at); between the two a rule abstains. Measures are of the columns of ``measures``.
 RULES: dict[str, tuple[str, str, str]] = {
     "symbols": ("n_symbols / greatest(word_chars, 1)", "> 0.06", "<= 0.02"),
-    "dup_lines": ("n_dup_lines / greatest(n_lines, 6)", "> 0.5", "<= 0.25"),
-    "repeats": ("n_repeat_words / greatest(n_words, 1)", "> 0.3", "<= 0.1"),
+    "marks": ("n_marks / greatest(word_chars, 1)", "> 0.15", "<= 0.08"),
+    "dup_lines": ("n_dup_lines / greatest(n_lines, 6)", "> 0.3", "<= 0.15"),
+    "repeats": ("n_repeat_words / greatest(n_words, 1)", "> 0.15", "<= 0.05"),
     "capitals": ("n_capitals / greatest(word_chars, 1)", "> 0.3", "<= 0.12"),
-    "word_length": ("abs(word_chars / greatest(n_words, 1) - 6.5)", "> 5.5", "<= 3"),
-    "exclaims": ("n_exclaims / greatest(n_words, 1)", "> 0.4", "<= 0.1"),
-    "variety": ("n_distinct / greatest(least(n_words, 400), 1)", "< 0.25", ">= 0.4"),
+    "word_length": ("abs(word_chars / greatest(n_words, 1) - 5.5)", "> 2", "<= 1.25"),
+    "variety": ("ln(greatest(n_distinct, 1)) / ln(greatest(n_words, 2))", "< 0.75", ">= 0.82"),
 }
 
 
@@ -65,7 +65,7 @@ def measures(text: Column) -> Column:
             (F.size(lines) - F.size(F.array_distinct(lines))).cast("bigint").alias("n_dup_lines"),
             _repeat_words(w).alias("n_repeat_words"),
             count(t, r"\p{Lu}").alias("n_capitals"),
-            count(t, "[!?]").alias("n_exclaims"),
+            count(t, rf"[^\p{{L}}\p{{M}}\p{{N}}{WS_CLASS}]").alias("n_marks"),
             F.size(F.array_distinct(w)).cast("bigint").alias("n_distinct"),
         )
 
@@ -85,48 +85,45 @@ def _base_failed() -> Column:
     return (F.col("_m.n_words") < 20) | (F.col("_m.n_repeat_words") * 100 > F.col("_m.n_words") * 30)
 
 
-#: Where estimation starts: {vote: (its probability among good rows, among bad rows)}, given that the rule votes. A text is
-#: bad in one way or another, so a bad text gets few bad votes, while a good text gets hardly any.
-START = {1: (0.99, 0.7), -1: (0.01, 0.3)}
-#: A bad vote is right at least so often (for a rule's author asks for it only where the measure is far off).
-SURE = 0.9
+#: What is expected of a rule that votes before any row is seen: how often it votes bad among good rows and among bad rows (a
+#: text is bad in one way or another, so a bad text gets few bad votes), and the share of good rows. These priors weigh
+#: as much as WEIGHT of all rows, so they count alike at every size: they tell the classes apart and speak where data are few.
+BAD_VOTES, GOOD_SHARE, WEIGHT = (0.01, 0.3), 0.9, 0.02
 
 Tables = list[dict[int, tuple[float, float]]]
 
 
-def fit_accuracies(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 200, start: float = 0.8) -> tuple[float, Tables]:
+def fit_accuracies(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 500, weight: float = WEIGHT) -> tuple[float, Tables]:
     """Expectation-maximisation for rules that err independently given the class and abstain whatever the class.
 
     patterns: (votes, rows) for each vote pattern that occurs. Returns the share of good rows and for each rule
-    {vote: (its probability among good rows, among bad rows)}, given that it votes. Starts from a share of ``start`` and
-    START; counts are smoothed by one row. Each round keeps bad votes right with probability SURE at least and good
-    votes no likelier among bad rows, so that classes cannot swap.
+    {vote: (its probability among good rows, among bad rows)}, given that it votes: the mode of the posterior under
+    Beta priors (BAD_VOTES, GOOD_SHARE) that weigh as much as ``weight`` of the rows. A rule is never taken to vote bad
+    more often among good rows than among bad ones.
     """
     patterns = sorted(patterns)
-    prior, tables = start, [dict(START) for _ in range(len(patterns[0][0]) if patterns else len(RULES))]
+    table = lambda good, bad: {1: (1 - good, 1 - bad), -1: (good, bad)}
+    share, tables = GOOD_SHARE, [table(*BAD_VOTES) for _ in range(len(patterns[0][0]) if patterns else len(RULES))]
     total = sum(n for _, n in patterns)
+    extra = max(weight * total, 1)
     for _ in range(rounds if total else 0):
-        good_rows = [n * _posterior(prior, tables, v) for v, n in patterns]
-        before, prior = prior, min(max((sum(good_rows) + 1) / (total + 2), 0.02), 0.98)
+        good_rows = [n * _posterior(share, tables, v) for v, n in patterns]
+        before, share = share, (sum(good_rows) + extra * GOOD_SHARE) / (total + extra)
         for j in range(len(tables)):
-            seen = {1: [0.5, 0.5], -1: [0.5, 0.5]}
+            seen = {v: [extra * (p if v < 0 else 1 - p) for p in BAD_VOTES] for v in (-1, 1)}
             for (v, n), g in zip(patterns, good_rows, strict=True):
                 if v[j]:
                     seen[v[j]][0] += g
                     seen[v[j]][1] += n - g
             good, bad = (seen[-1][k] / (seen[1][k] + seen[-1][k]) for k in (0, 1))
-            good = min(good, bad, bad * (1 - SURE) / SURE * (1 - prior) / prior)
-            tables[j] = {1: (1 - good, 1 - bad), -1: (good, bad)}
-        if abs(before - prior) < 1e-9:
+            tables[j] = table(min(good, bad), bad)
+        if abs(before - share) < 1e-9:
             break
-    return prior, tables
+    return share, tables
 
 
-def _posterior(prior: float, tables: Tables, vote: tuple[int, ...]) -> float:
-    """A row that no rule votes against is good: else a class of bad rows without bad votes could grow among them."""
-    if -1 not in vote:
-        return 1.0
-    z = math.log(prior / (1 - prior)) + sum(math.log(t[v][0] / t[v][1]) for t, v in zip(tables, vote, strict=True) if v)
+def _posterior(share: float, tables: Tables, vote: tuple[int, ...]) -> float:
+    z = math.log(share / (1 - share)) + sum(math.log(t[v][0] / t[v][1]) for t, v in zip(tables, vote, strict=True) if v)
     return 1 / (1 + math.exp(-max(min(z, 700), -700)))
 
 
@@ -141,7 +138,7 @@ def _probability(prior: float, tables: Tables) -> Column:
     for vote, rates in zip(votes().values(), tables, strict=True):
         weight = {v: F.lit(math.log(a / b)) for v, (a, b) in rates.items()}
         z = z + F.when(vote == 1, weight[1]).when(vote == -1, weight[-1]).otherwise(F.lit(0.0))
-    return F.when(F.array_contains(F.array(*votes().values()), -1), F.lit(1.0) / (F.lit(1.0) + F.exp(-z))).otherwise(F.lit(1.0))
+    return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
 
 
 def quality(docs: DataFrame, threshold: float = 0.5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -160,11 +157,10 @@ def quality(docs: DataFrame, threshold: float = 0.5, doc_id: str = "doc_id", tex
 
 
 def keep_good(docs: DataFrame, threshold: float = 0.5, text: str = "text") -> DataFrame:
-    """The rows of docs that ``quality`` keeps, all columns. Texts are measured twice (once to weigh the rules) and not shuffled."""
-    measured = docs.select(measures(F.col(text)).alias("_m"))
-    p = _probability(*fit_accuracies(_pattern_counts(measured)))
-    rows = docs.select(F.struct("*").alias("_in"), measures(F.col(text)).alias("_m"))
-    return rows.select("_in", (~_base_failed() & (p >= threshold)).alias("_keep")).where("_keep").select("_in.*")
+    """The rows of docs that ``quality`` keeps, all columns. Rows are written to the shared folder with their measures, so that texts are measured once; nothing is shuffled."""
+    rows = written(docs.select(F.struct("*").alias("_in"), measures(F.col(text)).alias("_m")), "measured")
+    p = _probability(*fit_accuracies(_pattern_counts(rows)))
+    return rows.where(~_base_failed() & (p >= threshold)).select("_in.*")
 
 
 def op7_query(docs: DataFrame) -> DataFrame:
