@@ -25,8 +25,8 @@ def main() -> None:
     from spanforge import catalog
     from spanforge.operators import overlaps
 
-    lists = lambda **how: lambda s, d: overlaps.find_overlaps_lists(catalog.order_groups(s, d), catalog.part_groups(s, d), **how)
-    flat = lambda **how: lambda s, d: overlaps.find_overlaps_lists(catalog.order_groups(s, d), catalog.parts(s, d), subject_flat=True, **how)
+    lists = lambda **how: lambda s, d: overlaps.find_overlaps_lists(catalog.order_groups(s, d), catalog.part_groups(s, d), bins=128, **how)
+    flat = lambda **how: lambda s, d: overlaps.find_overlaps_lists(catalog.order_groups(s, d), catalog.parts(s, d), subject_flat=True, bins=128, **how)
     headline = {
         "find_overlaps_list_list": lists(),
         "find_overlaps_list_list_ignore_strand": lists(ignore_strand=True),

@@ -262,16 +262,13 @@ _add("j13_follows", lambda spark, sf: nearest.follows(orders(spark, sf), parts(s
 _EQ = "a.seqnames = b.seqnames AND a.strand = b.strand AND a.s = b.s AND a.e = b.e"
 _odd = lambda spark, sf: intra.resize(orders(spark, sf).withColumn("start", (F.col("start") % 50).cast("int")).withColumn("end", F.col("start")), 5)
 _D = f", d AS (SELECT idx, seqnames, CASE WHEN {_MINUS} THEN s % 50 - 4 ELSE s % 50 END AS s, CASE WHEN {_MINUS} THEN s % 50 ELSE s % 50 + 4 END AS e, strand FROM g) "
-_add("j14_match", lambda spark, sf: compare.match(_odd(spark, sf), _odd(spark, sf).where("idx % 7 = 0")), _W + _D + f"SELECT a.idx, min(b.idx) AS match_idx FROM d a LEFT JOIN (SELECT * FROM d WHERE idx % 7 = 0) b ON {_EQ} GROUP BY 1")
-_add("j14_is_in", lambda spark, sf: compare.is_in(_odd(spark, sf), _odd(spark, sf).where("idx % 700 = 0")).select("idx"), _W + _D + f"SELECT a.idx FROM d a WHERE EXISTS (SELECT 1 FROM d b WHERE idx % 700 = 0 AND {_EQ})")
-_add("j15_merge_tables", lambda spark, sf: compare.merge_tables(_odd(spark, sf), _odd(spark, sf).where("idx % 500 = 0")), _W + _D + f'SELECT a.seqnames, a.strand, a.s AS "start", a.e AS "end", a.idx AS idx_x, b.idx AS idx_y FROM d a JOIN d b ON {_EQ} AND b.idx % 500 = 0')
 # Both tables whole: 32 neighbouring keys share a place, so that rows have several matches at every scale and the output stays in proportion
 _steps = lambda spark, sf: orders(spark, sf).withColumn("start", (F.floor(F.col("idx") / 32) * 5 + 1).cast("int")).withColumn("end", (F.col("start") + 4).cast("int"))
 _next = lambda spark, sf: intra.shift(_steps(spark, sf), 5)
 _T = ", x AS (SELECT idx, seqnames, CAST(idx // 32 * 5 + 1 AS INTEGER) AS s, CAST(idx // 32 * 5 + 5 AS INTEGER) AS e, strand FROM g), y AS (SELECT idx, seqnames, s + 5 AS s, e + 5 AS e, strand FROM x) "
-_add("j14_match_whole", lambda spark, sf: compare.match(_steps(spark, sf), _next(spark, sf)), _W + _T + f"SELECT a.idx, min(b.idx) AS match_idx FROM x a LEFT JOIN y b ON {_EQ} GROUP BY 1")
-_add("j14_is_in_whole", lambda spark, sf: compare.is_in(_steps(spark, sf), _next(spark, sf)).select("idx"), _W + _T + f"SELECT a.idx FROM x a WHERE EXISTS (SELECT 1 FROM y b WHERE {_EQ})")
-_add("j15_merge_tables_whole", lambda spark, sf: compare.merge_tables(_steps(spark, sf), _next(spark, sf)), _W + _T + f'SELECT a.seqnames, a.strand, a.s AS "start", a.e AS "end", a.idx AS idx_x, b.idx AS idx_y FROM x a JOIN y b ON {_EQ}')
+_add("j14_match", lambda spark, sf: compare.match(_steps(spark, sf), _next(spark, sf)), _W + _T + f"SELECT a.idx, min(b.idx) AS match_idx FROM x a LEFT JOIN y b ON {_EQ} GROUP BY 1")
+_add("j14_is_in", lambda spark, sf: compare.is_in(_steps(spark, sf), _next(spark, sf)).select("idx"), _W + _T + f"SELECT a.idx FROM x a WHERE EXISTS (SELECT 1 FROM y b WHERE {_EQ})")
+_add("j15_merge_tables", lambda spark, sf: compare.merge_tables(_steps(spark, sf), _next(spark, sf)), _W + _T + f'SELECT a.seqnames, a.strand, a.s AS "start", a.e AS "end", a.idx AS idx_x, b.idx AS idx_y FROM x a JOIN y b ON {_EQ}')
 _CODE = """CASE WHEN a.s = b.s AND a.e = b.e THEN 0 WHEN a.e < b.s - 1 THEN -6 WHEN a.e = b.s - 1 AND a.s < b.s THEN -5 WHEN a.s > b.e + 1 THEN 6 WHEN a.s = b.e + 1 AND a.s > b.s THEN 5 WHEN a.s < b.s AND a.e < b.e THEN -4 WHEN a.s < b.s AND a.e = b.e THEN -3
  WHEN a.s < b.s THEN -2 WHEN a.s = b.s AND a.e < b.e THEN -1 WHEN a.s = b.s THEN 1 WHEN a.e < b.e THEN 2 WHEN a.e = b.e THEN 3 ELSE 4 END"""
 _sid = lambda t: _SID.replace("strand", f"{t}.strand")
@@ -300,9 +297,7 @@ _near = lambda spark, sf: intra.shift(orders(spark, sf), 15)
 _add("u6_parallel_union", lambda spark, sf: setops.parallel_union(orders(spark, sf), _near(spark, sf), fill_gap=True), _rows("s", "e + 15"))
 _add("u7_parallel_intersect", lambda spark, sf: setops.parallel_intersect(orders(spark, sf), _near(spark, sf)), _W + 'SELECT idx, seqnames, CASE WHEN e - s + 1 >= 15 THEN s + 15 ELSE s END AS "start", CASE WHEN e - s + 1 >= 15 THEN e ELSE s - 1 END AS "end", strand, e - s + 1 >= 15 AS hit FROM g')
 _add("u8_parallel_setdiff", lambda spark, sf: setops.parallel_setdiff(orders(spark, sf), _near(spark, sf)), _rows("s", "CASE WHEN e >= s + 15 THEN s + 14 ELSE e END"))
-_add("u9_parallel_setdiff_list", lambda spark, sf: setops.parallel_setdiff_list(parts(spark, sf).where("idx < 400"), parts(spark, sf).withColumn("start", (F.col("start") + 2).cast("int")).withColumn("end", F.least("end", F.col("start") + 1)).withColumn("group", F.col("idx"))),
-     _W + ", x AS (SELECT idx, seqnames, strand, unnest(range(s, e + 1)) AS pos, s, e FROM p WHERE idx < 400), d AS (SELECT * FROM x WHERE NOT (pos BETWEEN s + 2 AND least(e, s + 3))), k AS (SELECT *, pos - row_number() OVER (PARTITION BY idx ORDER BY pos) AS k FROM d), r AS (SELECT idx, seqnames, CAST(min(pos) AS INTEGER) AS \"start\", CAST(max(pos) AS INTEGER) AS \"end\", strand FROM k GROUP BY idx, seqnames, strand, k) SELECT *, CAST(row_number() OVER (PARTITION BY idx ORDER BY \"start\") AS INTEGER) AS piece FROM r")
-_add("u9_parallel_setdiff_list_whole", lambda spark, sf: setops.parallel_setdiff_list(parts(spark, sf), parts(spark, sf).withColumn("start", (F.col("start") + 2).cast("int")).withColumn("end", F.least("end", F.col("start") + 1)).withColumn("group", F.col("idx"))),
+_add("u9_parallel_setdiff_list", lambda spark, sf: setops.parallel_setdiff_list(parts(spark, sf), parts(spark, sf).withColumn("start", (F.col("start") + 2).cast("int")).withColumn("end", F.least("end", F.col("start") + 1)).withColumn("group", F.col("idx"))),
      _W + ", x AS (SELECT idx, seqnames, strand, unnest(range(s, e + 1)) AS pos, s, e FROM p), d AS (SELECT * FROM x WHERE NOT (pos BETWEEN s + 2 AND least(e, s + 3))), k AS (SELECT *, pos - row_number() OVER (PARTITION BY idx ORDER BY pos) AS k FROM d), r AS (SELECT idx, seqnames, CAST(min(pos) AS INTEGER) AS \"start\", CAST(max(pos) AS INTEGER) AS \"end\", strand FROM k GROUP BY idx, seqnames, strand, k) SELECT *, CAST(row_number() OVER (PARTITION BY idx ORDER BY \"start\") AS INTEGER) AS piece FROM r")
 _add("u10_parallel_gap", lambda spark, sf: setops.parallel_gap(orders(spark, sf), intra.shift(orders(spark, sf), 100)), _rows("e + 1", "s + 99"))
 _add("u11_all_comparable", lambda spark, sf: setops.all_comparable(orders(spark, sf), parts(spark, sf)), _W + f"SELECT bool_and(a.seqnames = b.seqnames AND {_OK}) AS comparable {_PAIR}")
@@ -340,8 +335,8 @@ _add("a8_stitch", lambda spark, sf: inter.stitch(_chain(spark, sf)),
  SELECT min(idx) AS idx, any_value(seqnames) AS seqnames, '+' AS strand, min(s) AS "start", max(e) AS "end" FROM z GROUP BY run""")
 _add("j2_lists_within", lambda spark, sf: overlaps.find_overlaps_lists(part_groups(spark, sf), intra.resize(part_groups(spark, sf), 60, "center"), kind="within"),
      _W + f", x AS (SELECT *, idx // 4 AS grp FROM p), y AS (SELECT idx, grp, seqnames, strand, s + CAST(floor((e - s + 1 - 60) / 2.0) AS INTEGER) AS s, s + CAST(floor((e - s + 1 - 60) / 2.0) AS INTEGER) + 59 AS e FROM x), h AS (SELECT a.grp AS qg, b.grp AS sg, count(DISTINCT a.idx) AS n FROM x a JOIN y b ON a.seqnames = b.seqnames AND {_OK} AND b.s <= a.s AND a.e <= b.e GROUP BY 1, 2) SELECT qg AS query_idx, sg AS subject_idx FROM h WHERE n = (SELECT count(*) FROM x WHERE grp = qg)")
-_add("j2_lists_equal", lambda spark, sf: overlaps.find_overlaps_lists(part_groups(spark, sf), part_groups(spark, sf).where("group % 3 <> 0 OR idx % 4 <> 0"), kind="equal"),
-     _W + f", x AS (SELECT *, idx // 4 AS grp FROM p), y AS (SELECT * FROM x WHERE grp % 3 <> 0 OR idx % 4 <> 0), h AS (SELECT a.grp AS qg, b.grp AS sg, count(DISTINCT a.idx) AS n, count(DISTINCT b.idx) AS m FROM x a JOIN y b ON a.seqnames = b.seqnames AND {_OK} AND a.s = b.s AND a.e = b.e GROUP BY 1, 2) SELECT qg AS query_idx, sg AS subject_idx FROM h WHERE n = (SELECT count(*) FROM x WHERE grp = qg) AND m = (SELECT count(*) FROM y WHERE grp = sg)")
+_add("j2_lists_equal", lambda spark, sf: overlaps.find_overlaps_lists(part_groups(spark, sf), part_groups(spark, sf).withColumn("end", F.when(F.col("group") % 3 == 0, F.col("end") + 1).otherwise(F.col("end")).cast("int")), kind="equal"),
+     _W + f", x AS (SELECT *, idx // 4 AS grp FROM p), y AS (SELECT idx, grp, seqnames, strand, s, CASE grp % 3 WHEN 0 THEN e + 1 ELSE e END AS e FROM x), h AS (SELECT a.grp AS qg, b.grp AS sg, count(DISTINCT a.idx) AS n, count(DISTINCT b.idx) AS m FROM x a JOIN y b ON a.seqnames = b.seqnames AND {_OK} AND a.s = b.s AND a.e = b.e GROUP BY 1, 2) SELECT qg AS query_idx, sg AS subject_idx FROM h WHERE n = (SELECT count(*) FROM x WHERE grp = qg) AND m = (SELECT count(*) FROM y WHERE grp = sg)")
 _add("u7_intersect_lists", lambda spark, sf: setops.parallel_intersect_list(order_groups(spark, sf), orders(spark, sf)).select("group", "idx", "start", "end", "hit"),
      _W + f', x AS (SELECT a.idx // 5 AS grp, a.idx, a.s AS s0, greatest(a.s, b.s) AS s, least(a.e, b.e) AS e, a.seqnames = b.seqnames AND {_OK} AND least(a.e, b.e) >= greatest(a.s, b.s) - 1 AS hit FROM g a JOIN g b ON a.idx // 5 = b.idx) SELECT grp AS "group", idx, CASE WHEN hit THEN s ELSE s0 END AS "start", CASE WHEN hit THEN e ELSE s0 - 1 END AS "end", hit FROM x')
 _add("j9_nearest_in_self", lambda spark, sf: nearest.nearest_in_self(parts(spark, sf), ignore_strand=True, ties="both"),

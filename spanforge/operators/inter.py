@@ -159,11 +159,11 @@ def coverage(df: DataFrame, seqinfo: DataFrame | None = None, shift: int | str |
         limits = ends.withColumn("_n", F.lit(None).cast("bigint")).select(*keys, limit.alias("_l"))
     limits = limits.where("_l >= 1")
     inside = placed.join(limits, keys).select(*keys, F.greatest("s", F.lit(1)).alias("s"), F.least("e", "_l").alias("e"), "w").where("s <= e")
-    ups = inside.select(*keys, F.col("s").alias("pos"), F.col("w").alias("value"))
-    downs = inside.select(*keys, (F.col("e") + 1).alias("pos"), (-F.col("w")).alias("value"))
-    summed = ups.union(downs).groupBy(*keys, "pos").agg(F.sum("value").alias("value"), F.lit(0).alias("frame"))
-    frame = limits.select(*keys, F.explode(F.array(F.lit(1).cast("bigint"), F.col("_l") + 1)).alias("pos"), F.lit(0).cast(summed.schema["value"].dataType).alias("value"), F.lit(1).alias("frame"))
-    events = summed.unionByName(frame).groupBy(*keys, "pos").agg(F.sum("value").alias("value"), F.max("frame").alias("frame")).where("value <> 0 OR frame = 1")
+    change = lambda pos, value, frame: F.struct(pos.alias("pos"), value.alias("value"), F.lit(frame).alias("frame"))
+    changes = inside.select(*keys, F.explode(F.array(change(F.col("s"), F.col("w"), 0), change(F.col("e") + 1, (-F.col("w")).cast(shifted.schema["w"].dataType), 0))).alias("c"))
+    nothing = F.lit(0).cast(shifted.schema["w"].dataType)
+    frame = limits.select(*keys, F.explode(F.array(change(F.lit(1).cast("bigint"), nothing, 1), change(F.col("_l") + 1, nothing, 1))).alias("c"))
+    events = changes.unionByName(frame).select(*keys, "c.*").groupBy(*keys, "pos").agg(F.sum("value").alias("value"), F.max("frame").alias("frame")).where("value <> 0 OR frame = 1")
     from ..plans.prefix import _next
 
     sums = _next(running(events, keys, "pos", ["pos"], {"v": ("sum", F.col("value"))}, inclusive=True, block=block), keys, block)
@@ -171,10 +171,15 @@ def coverage(df: DataFrame, seqinfo: DataFrame | None = None, shift: int | str |
     return sums.where("_next IS NOT NULL").select(*keys, F.col("pos").cast("int").alias("start"), (F.col("_next") - 1).cast("int").alias("end"), value.alias("value"))
 
 
-def peaks(cover: DataFrame, lower: float) -> DataFrame:
+def local_indices(df: DataFrame, by: By = ("group",)) -> DataFrame:
+    """df with idx numbered anew within each element (1 ..): a revmap made from it names places within the element."""
+    return df.withColumn("idx", F.row_number().over(Window.partitionBy(*by).orderBy("idx")))
+
+
+def peaks(cover: DataFrame, lower: float, block: int | None = None) -> DataFrame:
     """Maximal stretches of a coverage with values of at least ``lower``: seqnames, start, end, and area (sum of values) and top."""
     high = cover.where(F.col("value") >= lower)
-    runs = islands(high, ["seqnames"], 1)
+    runs = islands(high, ["seqnames"], 1, block)
     return runs.groupBy("seqnames", "_island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum(F.col("value") * width()).alias("area"), F.max("value").alias("top")).drop("_island")
 
 

@@ -16,48 +16,55 @@ from ..functions import ranges as R
 from .overlaps import CORE, find_overlaps, select_hits, side_by_side
 
 
-def _as_of(query: DataFrame, subject: DataFrame, right: bool, block: int | None) -> DataFrame:
-    """Nearest subjects strictly right (left) of each query (idx, class, start, end), ties all: query_idx, subject_idx, gap.
+AHEAD, BEHIND = 0, 1
 
-    subject has a row for each class it belongs to. To look right, the axis is mirrored.
-    """
-    from ..plans.prefix import running
 
-    sign = -1 if right else 1
-    q_at, s_at = (sign * F.col("end"), sign * F.col("start")) if right else (F.col("start"), F.col("end"))
-    ends = subject.select("seqnames", "class", s_at.cast("bigint").alias("pos")).distinct()
-    events = query.select("seqnames", "class", q_at.cast("bigint").alias("pos"), F.lit(0).alias("side"), "idx").unionByName(
-        ends.select("seqnames", "class", "pos", F.lit(1).alias("side"), F.lit(None).cast(query.schema["idx"].dataType).alias("idx"))
-    )
-    # at one position queries come first, so that only endpoints strictly before count
-    carried = running(events, ["seqnames", "class"], "pos", ["pos", "side"], {"last": ("max", F.when(F.col("side") == 1, F.col("pos")))}, block=block)
-    found = carried.where("side = 0 AND last IS NOT NULL").select("idx", "seqnames", "class", "last", (F.col("pos") - F.col("last")).alias("gap"))
-    back = subject.select("seqnames", "class", s_at.cast("bigint").alias("last"), F.col("idx").alias("subject_idx"))
-    return found.join(back, ["seqnames", "class", "last"]).select(F.col("idx").alias("query_idx"), "subject_idx", "gap")
+def _neighbours(query: DataFrame, subject: DataFrame, sides: tuple[int, ...], ignore_strand: bool, block: int | None) -> DataFrame:
+    """Subjects at the nearest endpoint on each side, for each reading of a query, ties all: query_idx, subject_idx, gap, side.
 
+    All sides and readings are one order of events: to look right, the axis is mirrored, so that it is the last subject
+    endpoint before each query that counts.
+    """
+    from ..plans.prefix import running
 
-def _directed(query: DataFrame, subject: DataFrame, before: bool, ignore_strand: bool, block: int | None) -> DataFrame:
-    """Candidates of precede (before) or follow with their distance: query_idx, subject_idx, gap."""
     q, s = query.select(*CORE), subject.select(*CORE)
     if ignore_strand:
         q, s = q.withColumn("strand", F.lit("+")), s.withColumn("strand", F.lit("+"))
-    classes = F.when(F.col("strand") == "+", F.array(F.lit("+"), F.lit("p"))).when(F.col("strand") == "-", F.array(F.lit("-"), F.lit("m"))).otherwise(F.array(F.lit("+"), F.lit("-"), F.lit("p")))
-    s = s.withColumn("class", F.explode(classes))  # + and -: with *; p: + and *, m: - alone, for queries on *
-    forward = q.where("strand <> '-'").withColumn("class", F.when(F.col("strand") == "+", "+").otherwise("p"))
-    reverse = q.where("strand <> '+'").withColumn("class", F.when(F.col("strand") == "-", "-").otherwise("m"))
-    found = _as_of(forward, s, before, block).unionByName(_as_of(reverse, s, not before, block))
-    least = Window.partitionBy("query_idx")
-    return found.withColumn("_m", F.min("gap").over(least)).where("gap = _m").drop("_m").distinct()
+    strand = F.col("strand")
+    look = lambda kind, side, right: F.struct(kind.alias("class"), F.lit(side).alias("side"), F.lit(right).alias("right"))
+    forward = F.array(*[look(F.when(strand == "+", "+").otherwise("p"), side, side == AHEAD) for side in sides])
+    reverse = F.array(*[look(F.when(strand == "-", "-").otherwise("m"), side, side == BEHIND) for side in sides])
+    looks = F.when(strand == "+", forward).when(strand == "-", reverse).otherwise(F.concat(forward, reverse))
+    # + and -: with *; p: + and *, m: - alone, for queries on *
+    classes = F.when(strand == "+", F.array(F.lit("+"), F.lit("p"))).when(strand == "-", F.array(F.lit("-"), F.lit("m"))).otherwise(F.array(F.lit("+"), F.lit("-"), F.lit("p")))
+    at = F.when(F.col("right"), -F.col("start")).otherwise(F.col("end")).cast("bigint")
+    ways = s.select("seqnames", "start", "end", F.col("idx").alias("subject_idx"), F.explode(classes).alias("class"))
+    ways = ways.withColumn("right", F.explode(F.array(F.lit(True), F.lit(False)))).select("seqnames", "class", "right", at.alias("pos"), "subject_idx")
+    from_ = F.when(F.col("v.right"), -F.col("end")).otherwise(F.col("start")).cast("bigint")
+    asked = q.withColumn("v", F.explode(looks)).select("seqnames", "v.class", "v.right", from_.alias("pos"), F.lit(0).alias("end"), "idx", "v.side")
+    none = lambda c: F.lit(None).cast(asked.schema[c].dataType).alias(c)
+    ends = ways.groupBy("seqnames", "class", "right", "pos").agg(F.lit(1).alias("end")).withColumns({"idx": none("idx"), "side": none("side")})
+    # at one position queries come first, so that only endpoints strictly before count
+    group = ["seqnames", "class", "right"]
+    carried = running(asked.unionByName(ends), group, "pos", ["pos", "end"], {"last": ("max", F.when(F.col("end") == 1, F.col("pos")))}, block=block)
+    found = carried.where("end = 0 AND last IS NOT NULL").select("idx", *group, "last", "side", (F.col("pos") - F.col("last")).alias("gap"))
+    return found.join(ways.withColumnRenamed("pos", "last"), [*group, "last"]).select(F.col("idx").alias("query_idx"), "subject_idx", "gap", "side")
+
+
+def _directed(query: DataFrame, subject: DataFrame, side: int, ignore_strand: bool, block: int | None) -> DataFrame:
+    """Candidates of precede (AHEAD) or follow with their distance: query_idx, subject_idx, gap."""
+    found = _neighbours(query, subject, (side,), ignore_strand, block)
+    return found.withColumn("_m", F.min("gap").over(Window.partitionBy("query_idx"))).where("gap = _m").select("query_idx", "subject_idx", "gap")
 
 
 def precede(query: DataFrame, subject: DataFrame, ignore_strand: bool = False, block: int | None = None) -> DataFrame:
     """Nearest subjects after each query in reading direction, ties all: query_idx, subject_idx, gap (1 for adjacent ranges)."""
-    return _directed(query, subject, True, ignore_strand, block)
+    return _directed(query, subject, AHEAD, ignore_strand, block)
 
 
 def follow(query: DataFrame, subject: DataFrame, ignore_strand: bool = False, block: int | None = None) -> DataFrame:
     """Nearest subjects before each query in reading direction, ties all."""
-    return _directed(query, subject, False, ignore_strand, block)
+    return _directed(query, subject, BEHIND, ignore_strand, block)
 
 
 def nearest(query: DataFrame, subject: DataFrame, ignore_strand: bool = False, select: str = "all", ties: str = "precede", bins: int | None = None, block: int | None = None) -> DataFrame:
@@ -70,15 +77,10 @@ def nearest(query: DataFrame, subject: DataFrame, ignore_strand: bool = False, s
     if select == "arbitrary":
         over = select_hits(query, over, "arbitrary").where("subject_idx IS NOT NULL")
     rest = query.join(over, query["idx"] == over["query_idx"], "left_anti")
-    sides = _sides(rest, subject, ignore_strand, block)
+    sides = _neighbours(rest, subject, (AHEAD, BEHIND), ignore_strand, block)
     return over.select("query_idx", "subject_idx", F.lit(0).cast("bigint").alias("distance")).unionByName(_best(sides, select, ties))
 
 
-def _sides(query: DataFrame, subject: DataFrame, ignore_strand: bool, block: int | None) -> DataFrame:
-    ahead, behind = precede(query, subject, ignore_strand, block), follow(query, subject, ignore_strand, block)
-    return ahead.withColumn("side", F.lit(0)).unionByName(behind.withColumn("side", F.lit(1)))
-
-
 def _best(sides: DataFrame, select: str, ties: str) -> DataFrame:
     """The nearer side of each query, as ``nearest`` says."""
     if select == "arbitrary":
@@ -89,7 +91,7 @@ def _best(sides: DataFrame, select: str, ties: str) -> DataFrame:
     else:
         w = Window.partitionBy("query_idx")
         order = F.struct("gap", "side") if ties == "precede" else F.col("gap")
-        best = sides.withColumn("_o", order).withColumn("_m", F.min("_o").over(w)).where("_o = _m").select("query_idx", "subject_idx", "gap").distinct()
+        best = sides.withColumn("_o", order).withColumn("_m", F.min("_o").over(w)).where("_o = _m").select("query_idx", "subject_idx", "gap")
     return best.select("query_idx", "subject_idx", (F.col("gap") - 1).alias("distance"))
 
 
@@ -101,7 +103,7 @@ def nearest_in_self(df: DataFrame, ignore_strand: bool = False, select: str = "a
     rest = df.join(over, df["idx"] == over["query_idx"], "left_anti")
     # nothing but itself touches such a row, so one position more on either side only keeps it from finding itself
     wider = rest.withColumns({"start": F.col("start") - 1, "end": F.col("end") + 1})
-    apart = _best(_sides(wider, df, ignore_strand, block), select, ties)
+    apart = _best(_neighbours(wider, df, (AHEAD, BEHIND), ignore_strand, block), select, ties)
     return over.select("query_idx", "subject_idx", F.lit(0).cast("bigint").alias("distance")).unionByName(apart.withColumn("distance", F.col("distance") + 1))
 
 
@@ -134,7 +136,7 @@ def follows(x: DataFrame, y: DataFrame) -> DataFrame:
     return side_by_side(x, y).select(F.col("q_idx").alias("idx"), ((F.col("q_seqnames") == F.col("s_seqnames")) & test).alias("follows"))
 
 
-def k_nearest(query: DataFrame, subject: DataFrame, k: int = 1, select: str = "arbitrary", ignore_strand: bool = False, bins: int | None = None) -> DataFrame:
+def k_nearest(query: DataFrame, subject: DataFrame, k: int = 1, select: str = "arbitrary", ignore_strand: bool = False, bins: int | None = None, block: int | None = None) -> DataFrame:
     """The k nearest subjects of each query: query_idx, subject_idx, distance (0: overlapping or adjacent; else one more than the
     positions between) and rank. Ties go to subjects after the query, then before, then by idx; select all adds all at the k-th distance.
 
@@ -148,7 +150,7 @@ def k_nearest(query: DataFrame, subject: DataFrame, k: int = 1, select: str = "a
     s = s.withColumn("class", F.explode(classes))
     q = q.withColumn("class", F.col("strand"))
     over = find_overlaps(q, subject.select(*CORE), maxgap=0, ignore_strand=ignore_strand, bins=bins).select("query_idx", "subject_idx", F.lit(0).cast("bigint").alias("distance"), F.lit(2).alias("side"))
-    apart = [_next_k(q, s, k, right).withColumn("side", F.lit(0 if right else 1)) for right in (True, False)]
+    apart = [_next_k(q, s, k, right, block).withColumn("side", F.lit(0 if right else 1)) for right in (True, False)]
     found = apart[0].unionByName(apart[1]).where("distance > 1").unionByName(over)  # adjacent ones are at 0 already
     order = Window.partitionBy("query_idx").orderBy("distance", "side", "subject_idx")
     by_distance = Window.partitionBy("query_idx").orderBy("distance")
@@ -157,17 +159,17 @@ def k_nearest(query: DataFrame, subject: DataFrame, k: int = 1, select: str = "a
     return kept.select("query_idx", "subject_idx", "distance", "rank")
 
 
-def _next_k(q: DataFrame, s: DataFrame, k: int, right: bool) -> DataFrame:
+def _next_k(q: DataFrame, s: DataFrame, k: int, right: bool, block: int | None) -> DataFrame:
     """Subjects at the next k distinct endpoints strictly to one side, at most k and what ties with the last: query_idx, subject_idx, distance."""
-    sign = -1 if right else 1
+    from ..plans.prefix import running
+
+    sign, group = -1 if right else 1, ["seqnames", "class"]
     s_at, q_at = (sign * F.col("start"), sign * F.col("end")) if right else (F.col("end"), F.col("start"))
-    ends = s.groupBy("seqnames", "class", s_at.cast("bigint").alias("pos")).agg(F.sort_array(F.collect_list("idx")).alias("ids"))
-    axis = Window.partitionBy("seqnames", "class").orderBy("pos")
-    numbered = ends.withColumn("n", F.row_number().over(axis))
-    events = q.select("seqnames", "class", q_at.cast("bigint").alias("pos"), F.lit(0).alias("side"), F.lit(None).cast("int").alias("n"), "idx").unionByName(
-        numbered.select("seqnames", "class", "pos", F.lit(1).alias("side"), "n", F.lit(None).cast(q.schema["idx"].dataType).alias("idx"))
-    )
-    carried = events.withColumn("last", F.max("n").over(Window.partitionBy("seqnames", "class").orderBy("pos", "side").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    at = carried.where("side = 0 AND last IS NOT NULL").select("idx", "seqnames", "class", F.col("pos").alias("at"), F.explode(F.sequence(F.col("last"), F.greatest(F.col("last") - k + 1, F.lit(1)))).alias("n"))
-    hits = at.join(numbered, ["seqnames", "class", "n"])
-    return hits.select(F.col("idx").alias("query_idx"), F.explode("ids").alias("subject_idx"), (F.col("at") - F.col("pos")).alias("distance"))
+    ends = s.select(*group, s_at.cast("bigint").alias("pos"), F.col("idx").alias("subject_idx"))
+    distinct = ends.groupBy(*group, "pos").agg(F.lit(1).alias("side")).withColumn("idx", F.lit(None).cast(q.schema["idx"].dataType))
+    asked = q.select(*group, q_at.cast("bigint").alias("pos"), F.lit(0).alias("side"), "idx")
+    counted = running(asked.unionByName(distinct), group, "pos", ["pos", "side"], {"last": ("sum", F.col("side").cast("bigint"))}, block=block)
+    numbered = counted.where("side = 1").select(*group, "pos", (F.col("last") + 1).alias("n"))
+    at = counted.where("side = 0 AND last > 0").select("idx", *group, F.col("pos").alias("at"), F.explode(F.sequence(F.col("last"), F.greatest(F.col("last") - k + 1, F.lit(1)), F.lit(-1).cast("bigint"))).alias("n"))
+    hits = at.join(numbered, [*group, "n"]).join(ends, [*group, "pos"])
+    return hits.select(F.col("idx").alias("query_idx"), "subject_idx", (F.col("at") - F.col("pos")).alias("distance"))

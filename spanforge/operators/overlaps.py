@@ -108,9 +108,15 @@ def find_overlaps_lists(query: DataFrame, subject: DataFrame, kind: str = "any",
         s = s.withColumn("_r", F.row_number().over(Window.partitionBy("_g").orderBy(order))).where("_r = 1").drop("_r")
     cols = ["_g", *CORE]
     pairs = overlap_pairs(q.select(*cols), s.select(*cols), kind, maxgap, 0, ignore_strand, bins)
-    found = pairs.groupBy(F.col("q__g").alias("query_idx"), F.col("s__g").alias("subject_idx")).agg(
-        F.sum(R.shared_width("q_", "s_")).alias("_shared"), F.countDistinct("q_idx").alias("_nq"), F.countDistinct("s_idx").alias("_ns")
-    )
+    wanted = {}  # only what the kind asks for: distinct counts make a wide aggregate
+    if minoverlap > 0:
+        wanted["_shared"] = F.sum(R.shared_width("q_", "s_"))
+    if kind in ("within", "equal") and not query_flat:
+        wanted["_nq"] = F.countDistinct("q_idx")
+    if kind == "equal" and not subject_flat:
+        wanted["_ns"] = F.countDistinct("s_idx")
+    hits = pairs.groupBy(F.col("q__g").alias("query_idx"), F.col("s__g").alias("subject_idx"))
+    found = hits.agg(*[c.alias(k) for k, c in wanted.items()]) if wanted else hits.agg(F.lit(1).alias("_one"))
     if minoverlap > 0:
         found = found.where(F.col("_shared") >= minoverlap)
     if kind in ("within", "equal") and not query_flat:

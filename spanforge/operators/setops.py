@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ranges as R
 from ..plans.binning import prefixed
 from ..plans.prefix import depth
 from .inter import By, _keys, merge_ranges
-from .overlaps import overlap_pairs, side_by_side
+from .overlaps import CORE, overlap_pairs, side_by_side
 
 
 def union_ranges(x: DataFrame, y: DataFrame, ignore_strand: bool = False, by: By = (), block: int | None = None) -> DataFrame:
@@ -104,29 +104,22 @@ def parallel_gap(x: DataFrame, y: DataFrame, ignore_strand: bool = False) -> Dat
     return _result(pairs, start, F.when(hi < lo - 1, F.greatest("q_start", "s_start") - 1).otherwise(hi), strand)
 
 
-def subtract(x: DataFrame, y: DataFrame, minoverlap: int = 1, ignore_strand: bool = False, bins: int | None = None) -> DataFrame:
+def subtract(x: DataFrame, y: DataFrame, minoverlap: int = 1, ignore_strand: bool = False, bins: int | None = None, block: int | None = None) -> DataFrame:
     """What is left of each row of x without the ranges of y (merged first) that share ``minoverlap`` positions with it at least: idx of x,
     seqnames, start, end, strand, and piece (1 ..). Rows of which nothing is left have no row."""
-    cut = merge_ranges(y, drop_empty=True, ignore_strand=ignore_strand).withColumn("idx", F.lit(0))
-    pairs = overlap_pairs(x.select("idx", "seqnames", "start", "end", "strand"), cut, minoverlap=max(minoverlap, 1), ignore_strand=ignore_strand, bins=bins)
-    return _without(x, pairs.select(F.col("q_idx").alias("idx"), "s_start", "s_end"))
-
-
-def _without(x: DataFrame, cuts: DataFrame) -> DataFrame:
-    """Rows of x without cuts (idx, s_start, s_end)."""
-    core = ["idx", "seqnames", "start", "end", "strand"]
-    grouped = cuts.groupBy("idx").agg(F.sort_array(F.collect_list(F.struct("s_start", "s_end"))).alias("cuts"))
-    rows = x.select(*core).join(grouped, "idx", "left")
-    at = F.struct(F.array().cast("array<struct<a:int,b:int>>").alias("out"), F.col("start").alias("next"))
-    step = lambda s, c: F.struct(
-        F.when(c["s_start"] > s["next"], F.concat(s["out"], F.array(F.struct(s["next"].alias("a"), (c["s_start"] - 1).alias("b"))))).otherwise(s["out"]).alias("out"),
-        F.greatest(s["next"], c["s_end"] + 1).alias("next"),
-    )
-    done = F.aggregate(F.coalesce("cuts", F.array().cast("array<struct<s_start:int,s_end:int>>")), at, step)
-    rows = rows.withColumn("_r", done)
-    pieces = F.when(F.col("_r.next") <= F.col("end"), F.concat("_r.out", F.array(F.struct(F.col("_r.next").alias("a"), F.col("end").alias("b"))))).when(F.col("start") > F.col("end"), F.array(F.struct(F.col("start").alias("a"), F.col("end").alias("b")))).otherwise(F.col("_r.out"))
-    cut = rows.select("idx", "seqnames", "strand", F.posexplode(pieces).alias("_k", "_p"))
-    return cut.select("idx", "seqnames", F.col("_p.a").alias("start"), F.col("_p.b").alias("end"), "strand", (F.col("_k") + 1).alias("piece"))
+    cut = merge_ranges(y, drop_empty=True, ignore_strand=ignore_strand, block=block).withColumn("idx", F.lit(0))
+    return _without(x, overlap_pairs(x.select(*CORE), cut, minoverlap=max(minoverlap, 1), ignore_strand=ignore_strand, bins=bins))
+
+
+def _without(x: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Rows of x without the ranges paired with them (q_ columns: x's; s_start, s_end: the cut). A row's cuts are sorted, and a piece ends before each of them, and at the row's end."""
+    cuts = pairs.select(*[F.col(f"q_{c}").alias(c) for c in CORE], F.col("s_start").cast("int").alias("_s"), F.col("s_end").cast("int").alias("_e"))
+    ends = x.select(*CORE, (F.col("end") + 1).cast("int").alias("_s"), F.lit(None).cast("int").alias("_e"))
+    row = Window.partitionBy("idx").orderBy("_s", F.col("_e").asc_nulls_last())
+    before = F.max("_e").over(row.rowsBetween(Window.unboundedPreceding, -1))
+    lo, hi = F.greatest(F.col("start"), before + 1), F.col("_s") - 1
+    pieces = cuts.unionByName(ends).withColumns({"_lo": lo, "_hi": hi}).where("_lo <= _hi OR start > end")
+    return pieces.select("idx", "seqnames", F.col("_lo").alias("start"), F.col("_hi").alias("end"), "strand", F.row_number().over(row).alias("piece"))
 
 
 def parallel_setdiff_list(x: DataFrame, y: DataFrame, ignore_strand: bool = False) -> DataFrame:
@@ -136,7 +129,7 @@ def parallel_setdiff_list(x: DataFrame, y: DataFrame, ignore_strand: bool = Fals
     test = (q["q_idx"] == s["s_group"]) & (q["q_seqnames"] == s["s_seqnames"]) & (F.col("s_start") <= F.col("q_end")) & (F.col("s_end") >= F.col("q_start"))
     if not ignore_strand:
         test &= R.compatible(F.col("q_strand"), F.col("s_strand"))
-    return _without(x, q.join(s, test).select(F.col("q_idx").alias("idx"), F.col("s_start").cast("int").alias("s_start"), F.col("s_end").cast("int").alias("s_end")))
+    return _without(x, q.join(s, test))
 
 
 def parallel_intersect_list(x: DataFrame, y: DataFrame, ignore_strand: bool = False) -> DataFrame:

@@ -1,6 +1,7 @@
 """Running sums and maxima along the coordinate, within groups.
 
-A plain window puts a whole group into one task. With ``block`` set, groups are cut into blocks of so many positions:
+A plain window puts a whole group into one task. With ``block`` set, or unset (None) for a table that the planner takes to
+be larger than LARGE_BYTES, groups are cut into blocks of so many positions:
 windows run within blocks, block totals are carried over by a window over one row per block, and joined back. So one
 space of any size is dealt over all tasks; what meets in one task is a block's rows, or a group's blocks.
 """
@@ -11,6 +12,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 Parts = dict[str, tuple[str, Column]]
+#: From this estimated size on, and in blocks of so many positions, groups are cut unless told otherwise (0: never).
+LARGE_BYTES, BLOCK = 4 << 30, 1 << 20
+
+
+def block_for(df: DataFrame, block: int | None) -> int | None:
+    """The block to use: as told, or by the planner's estimate of df's size, which reads no data."""
+    if block is not None:
+        return block or None
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return BLOCK if int(str(size)) > LARGE_BYTES else None
 
 
 def _neutral(how: str) -> Column:
@@ -21,6 +32,7 @@ def running(df: DataFrame, keys: list[str], position: str, order: list[str], par
     """df with a column per part: name: ("sum" or "max", value), over the rows of the group before each (and itself, if inclusive); sums start from 0, maxima from null."""
     last = 0 if inclusive else -1
     over = lambda how: F.sum if how == "sum" else F.max
+    block = block_for(df, block)
     if block is None:
         w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, last)
         return df.withColumns({n: F.coalesce(over(how)(v).over(w), _neutral(how)) for n, (how, v) in parts.items()})
@@ -48,8 +60,7 @@ def islands(df: DataFrame, keys: list[str], gap: int = 1, block: int | None = No
     new = F.when(F.col("_reach").isNull() | (F.col("start") > F.col("_reach") + gap), 1).otherwise(0)
     flagged = ahead.withColumn("_new", new.cast("bigint"))
     # rows alike in start and end must not be told apart: only the first of them can be new, and all get its number
-    tied = order if block is None else order
-    return running(flagged, keys, "start", [*tied, F.col("_new").desc()], {"_island": ("sum", F.col("_new"))}, inclusive=True, block=block).drop("_reach", "_new")
+    return running(flagged, keys, "start", [*order, F.col("_new").desc()], {"_island": ("sum", F.col("_new"))}, inclusive=True, block=block).drop("_reach", "_new")
 
 
 def depth(events: DataFrame, keys: list[str], counters: list[str], block: int | None = None) -> DataFrame:
@@ -67,6 +78,7 @@ def depth(events: DataFrame, keys: list[str], counters: list[str], block: int |
 
 def _next(df: DataFrame, keys: list[str], block: int | None) -> DataFrame:
     """df with ``_next``: the following position of the group, null for the last."""
+    block = block_for(df, block)
     if block is None:
         return df.withColumn("_next", F.lead("pos").over(Window.partitionBy(*keys).orderBy("pos")))
     cut = df.withColumn("_block", F.floor(F.col("pos") / block))
