@@ -15,8 +15,6 @@ from .components import components
 
 #: Text bytes that are sketched at once.
 READ_BYTES = 1 << 20
-#: Rounds in which larger buckets get a leader before what is left is compared in full, and members that make one large.
-ROUNDS, LARGE = 2, 16
 #: Members of a bucket that one task compares to as many others, and counters of a bag of words.
 BLOCK, COUNTERS = 2048, 1024
 
@@ -97,11 +95,11 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, doc_id: str = "doc
     share a band of Order MinHash over occurrence-labelled five-word shingles (see ``sketch``), and only what a banded
     alignment of whole texts confirms is linked.
 
-    Within a band's bucket members are compared to a leader, the least id, first; members that are not in its class get a
-    new one, for another round, at about g comparisons a round for a bucket of g texts. That unites large classes. Then all
-    pairs of a bucket that are still in different classes are compared: those whose lengths or bags of words (an exact
-    bound of the edit distance) do not rule it out, by alignment. So whatever leads a bucket, no two of its texts that are
-    alike stay apart. A bucket that holds many classes costs the square of its members in bounds, in blocks of equal size.
+    Within a band's bucket members are compared to a leader, the least id, first, at about g comparisons for a bucket of g
+    texts. That unites large classes, as each of their texts meets leaders in all bands. Then all pairs of a bucket that
+    are still in different classes are compared: those whose lengths or bags of words (an exact bound of the edit distance)
+    do not rule it out, by alignment. So whatever leads a bucket, no two of its texts that are alike stay apart. A bucket
+    that holds many classes costs the square of its members in bounds, in blocks of equal size.
 
     Ids are whole numbers (else TypeError). A null or wordless text is a class of its own (class_id: its doc_id). Rows
     that share a doc_id share a class. A null doc_id has no class (null). Further columns are ignored. An empty table
@@ -132,18 +130,9 @@ def _classed(docs: DataFrame, similarity: float, doc_id: str, text: str) -> tupl
     same_id = _ids_of_many_texts(rows)
     links = written(verified(pairs, words, similarity).union(same_id), "verified")
     roots = components(links)
-    merged = lambda new: components(new.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
-    left = members
-    for turn in range(1, ROUNDS):
-        left = _unresolved(left, roots, turn)
-        again = left.where(near & (F.col("root") != F.col("leader_root"))).select(F.least("leader", "id").alias("a"), F.greatest("leader", "id").alias("b")).distinct()
-        again = written(again.join(pairs, ["a", "b"], "left_anti"), "pairs")
-        new = written(verified(again, words, similarity), "verified")
-        if new.isEmpty():
-            break
-        roots, pairs = merged(new), pairs.union(again)
     apart = written(_apart(members, leaders, roots, words, similarity).join(pairs, ["a", "b"], "left_anti"), "pairs")
-    roots = merged(written(verified(apart, words, similarity), "verified"))
+    more = written(verified(apart, words, similarity), "verified")
+    roots = components(more.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
 
     classes = written(texts.join(roots, texts.id == roots.node, "left").select("h1", "h2", F.coalesce("root", "id").alias("class_id"), "copies"), "classes")
     sizes = written(classes.groupBy("class_id").agg(F.sum("copies").alias("class_size"), F.count(F.lit(1)).alias("texts")), "sizes")
@@ -162,19 +151,6 @@ def _ids_of_many_texts(rows: DataFrame) -> DataFrame:
     return held.join(shared, "id", "left_semi").join(least, ["h1", "h2"]).select("a", F.col("id").alias("b"))
 
 
-def _unresolved(members: DataFrame, roots: DataFrame, turn: int) -> DataFrame:
-    """Members that are not in their leader's class, with a new leader, any of them, where more than LARGE are left; root and leader_root name their classes so far."""
-    led = members.groupBy("leader").agg(F.count(F.lit(1)).alias("rows")).join(roots, F.col("leader") == F.col("node"), "left")
-    led = written(led.select("leader", "rows", F.coalesce("root", "leader").alias("led_root")), "led")
-    placed = members.select("key", "id", "n", "leader").join(roots.withColumnRenamed("node", "id"), "id", "left")
-    placed = spread_join(placed, led, ["leader"], "rows").withColumn("root", F.coalesce("root", "id")).where("root != led_root")
-    apart = written(placed.select("key", "id", "n", "root"), "unresolved")
-    any_of = F.min(F.struct(F.xxhash64("id", "key", F.lit(turn)), "id", "n", "root"))
-    leaders = apart.groupBy("key").agg(any_of.alias("x"), F.count(F.lit(1)).alias("size")).where(F.col("size") > LARGE)
-    leaders = written(leaders.select("key", F.col("x.id").alias("leader"), F.col("x.n").alias("leader_n"), F.col("x.root").alias("leader_root"), "size"), "leaders")
-    return written(spread_join(apart, leaders, ["key"], "size"), "members")
-
-
 def _apart(members: DataFrame, leaders: DataFrame, roots: DataFrame, words: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) of a bucket that are in different classes and that lengths and bags of words leave possible."""
     heads = leaders.select("key", F.col("leader").alias("id"), F.col("leader_n").alias("n"))
