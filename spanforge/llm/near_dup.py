@@ -130,7 +130,7 @@ def _classed(docs: DataFrame, similarity: float, doc_id: str, text: str) -> tupl
     same_id = _ids_of_many_texts(rows)
     links = written(verified(pairs, words, similarity).union(same_id), "verified")
     roots = components(links)
-    apart = written(_apart(members, leaders, roots, words, similarity).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    apart = written(_apart(texts, members, leaders, roots, words, similarity).join(pairs, ["a", "b"], "left_anti"), "pairs")
     more = written(verified(apart, words, similarity), "verified")
     roots = components(more.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
 
@@ -151,8 +151,12 @@ def _ids_of_many_texts(rows: DataFrame) -> DataFrame:
     return held.join(shared, "id", "left_semi").join(least, ["h1", "h2"]).select("a", F.col("id").alias("b"))
 
 
-def _apart(members: DataFrame, leaders: DataFrame, roots: DataFrame, words: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) of a bucket that are in different classes and that lengths and bags of words leave possible."""
+def _apart(texts: DataFrame, members: DataFrame, leaders: DataFrame, roots: DataFrame, words: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) of a bucket that are in different classes and that lengths and bags of words leave possible.
+
+    A pair that shares several buckets comes from the one with the least key. That bucket is compared, as the least key
+    stands for all buckets with its members.
+    """
     heads = leaders.select("key", F.col("leader").alias("id"), F.col("leader_n").alias("n"))
     placed = members.select("key", "id", "n").union(heads).join(roots.withColumnRenamed("node", "id"), "id", "left")
     placed = written(placed.select("key", "id", "n", F.coalesce("root", "id").alias("root")), "placed")
@@ -164,7 +168,7 @@ def _apart(members: DataFrame, leaders: DataFrame, roots: DataFrame, words: Data
     rows = spread_join(placed, open_, ["key"], "size").withColumn("block", F.expr("cast(pmod(xxhash64(id), blocks) as int)"))
     rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "n", "root")
-    rows = rows.join(_bags(words), "id").select("key", "i", "j", "block", "id", "n", "root", "bag")
+    rows = rows.join(_bags(words).join(texts.select("id", "keys"), "id"), "id").select("key", "i", "j", "block", "id", "n", "root", "bag", "keys")
     rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "n")
     return rows.mapInArrow(lambda batches: _possible(batches, least), "a bigint, b bigint").distinct()
 
@@ -183,7 +187,7 @@ def _bags(words: DataFrame) -> DataFrame:
 
 
 def _possible(batches: Iterator, least: float) -> Iterator:
-    """Pairs of each run of rows (key, i, j, block, id, n, root, bag; by rising n) with equal key, i and j."""
+    """Pairs of each run of rows (key, i, j, block, id, n, root, bag, keys; by rising n) with equal key, i and j."""
     import pyarrow as pa
 
     held: list[pa.RecordBatch] = []
@@ -192,10 +196,11 @@ def _possible(batches: Iterator, least: float) -> Iterator:
         table = pa.Table.from_batches(parts)
         key, i, j, block, ids, n, root = (table.column(k).to_numpy() for k in range(7))
         bags = np.frombuffer(b"".join(table.column(7).to_pylist()), np.uint8).reshape(-1, COUNTERS)
+        keys = np.concatenate([c.flatten().to_numpy() for c in table.column(8).chunks]).reshape(len(key), -1)
         new = np.flatnonzero((np.diff(key) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
         a, b = [], []
         for lo, hi in zip([0, *new.tolist()], [*new.tolist(), len(key)], strict=True):
-            x, y = possible(ids[lo:hi], n[lo:hi], root[lo:hi], bags[lo:hi], block[lo:hi] if i[lo] != j[lo] else None, least)
+            x, y = possible(ids[lo:hi], n[lo:hi], root[lo:hi], bags[lo:hi], block[lo:hi] if i[lo] != j[lo] else None, least, (int(key[lo]), keys[lo:hi]))
             a.append(x)
             b.append(y)
         a, b = np.concatenate(a), np.concatenate(b)
@@ -214,8 +219,11 @@ def _possible(batches: Iterator, least: float) -> Iterator:
         yield pairs(held)
 
 
-def possible(ids: np.ndarray, n: np.ndarray, root: np.ndarray, bags: np.ndarray, block: np.ndarray | None, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of texts by rising n, of different roots (and blocks), whose edit similarity may be ``least``: words of the longer one that the shorter one lacks are edits."""
+def possible(ids: np.ndarray, n: np.ndarray, root: np.ndarray, bags: np.ndarray, block: np.ndarray | None, least: float, bucket: tuple[int, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of texts by rising n, of different roots (and blocks), whose edit similarity may be ``least``: words of the longer one that the shorter one lacks are edits.
+
+    bucket: a key and the texts' keys by band; only pairs are given whose least common key it is.
+    """
     a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     most = ((1 - least) * n + 1e-9).astype(np.int64)
     shortest = n - most
@@ -227,8 +235,11 @@ def possible(ids: np.ndarray, n: np.ndarray, root: np.ndarray, bags: np.ndarray,
         if block is not None:
             ok &= block[k + 1 : end] != block[k]
         at = np.flatnonzero(ok) + k + 1
+        if len(at) and bucket is not None:
+            keys = bucket[1][at]
+            at = at[np.where(keys == bucket[1][k], keys, np.iinfo(np.int64).max).min(1) == bucket[0]]
         if len(at):
-            at = at[size[at] - np.minimum(bags[at], bags[k]).sum(1, dtype=np.uint16) <= most[at]]
+            at = at[size[at] - np.minimum(bags[at], bags[k]).sum(1, dtype=np.uint32) <= most[at]]
             a.append(np.full(len(at), ids[k]))
             b.append(ids[at])
     return np.concatenate(a), np.concatenate(b)

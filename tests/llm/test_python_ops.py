@@ -259,6 +259,12 @@ def test_possible_pairs_leave_out_no_similar_pair():
     n, ids = np.array([len(t) for t in texts]), np.arange(len(texts))
     bags = np.array([np.minimum(np.bincount(t % 256, minlength=256), 255) for t in texts], np.uint8)
     got = set(zip(*(x.tolist() for x in near_dup.possible(ids, n, ids, bags, None, 0.8)), strict=True))
+    keys = np.array([[g // 2, 100 + g // 3, 200 + g % 5] for g in range(len(texts))])
+    buckets = {k: np.flatnonzero((keys == k).any(1)) for k in np.unique(keys).tolist()}
+    parts = [near_dup.possible(at, n[at], at, bags[at], None, 0.8, (k, keys[at])) for k, at in buckets.items()]
+    found = [p for part in parts for p in zip(*(x.tolist() for x in part), strict=True)]
+    met = {(a, b) for a, b in got if (keys[a] == keys[b]).any()}
+    assert len(found) == len(set(found)) and set(found) == met
     want = {(a, b) for b in range(len(texts)) for a in range(b) if n[b] <= 1.3 * n[a] and similar(texts[a], texts[b], 0.8)}
     assert want and want <= got and len(got) < len(texts) ** 2 / 8
 
