@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import ranges as R
-from .operators import compare, inter, intra, lists, nearest, overlaps, setops, tiling, transcripts
+from .operators import compare, elements, inter, intra, lists, nearest, overlaps, setops, tiling, transcripts
 from .plans import constraints
 from .plans import seqinfo as info
 from .sources import ingest
@@ -178,7 +178,12 @@ _add("a4_disjoin_revmap", lambda spark, sf: inter.disjoin(parts(spark, sf), revm
      _W + ", x AS (SELECT seqnames, strand, s AS b FROM p UNION SELECT seqnames, strand, e + 1 FROM p), y AS (SELECT *, lead(b) OVER (PARTITION BY seqnames, strand ORDER BY b) - 1 AS z FROM x) SELECT y.seqnames, y.strand, b AS \"start\", CAST(z AS INTEGER) AS \"end\", string_agg(CAST(idx AS VARCHAR), ',' ORDER BY idx) AS revmap FROM y JOIN p ON y.seqnames = p.seqnames AND y.strand = p.strand AND p.s <= b AND p.e >= z GROUP BY 1, 2, 3, 4")
 _add("a5_is_disjoint", lambda spark, sf: inter.is_disjoint(orders(spark, sf)), _W + "SELECT count(*) = 0 AS is_disjoint FROM g a JOIN g b ON a.seqnames = b.seqnames AND a.strand = b.strand AND a.idx < b.idx AND a.s <= b.e AND b.s <= a.e AND a.s <= a.e AND b.s <= b.e")
 _add("a5_is_disjoint_lists", lambda spark, sf: inter.is_disjoint(part_groups(spark, sf), by=("group",)), _W + ', q AS (SELECT *, idx // 4 AS grp FROM p) SELECT a.grp AS "group", count(b.idx) = 0 AS is_disjoint FROM q a LEFT JOIN q b ON a.grp = b.grp AND a.seqnames = b.seqnames AND a.strand = b.strand AND a.idx < b.idx AND a.s <= b.e AND b.s <= a.e GROUP BY a.grp')
-_add("a6_disjoint_bins", lambda spark, sf: inter.disjoint_bins(orders(spark, sf)).select("idx", "bin"))
+_add("a6_disjoint_bins", lambda spark, sf: inter.disjoint_bins(orders(spark, sf)).select("idx", "bin"),
+     _W.replace("WITH", "WITH RECURSIVE") + """, n AS (SELECT *, row_number() OVER (PARTITION BY seqnames, strand ORDER BY s, e, idx) AS n FROM g), t AS (
+ SELECT seqnames, strand, n, idx, CAST(1 AS BIGINT) AS bin, [e] AS ends FROM n WHERE n = 1 UNION ALL
+ SELECT seqnames, strand, n, idx, bin, CASE WHEN bin > len(ends) THEN list_append(ends, e) ELSE list_concat(list_append(ends[:bin - 1], e), ends[bin + 1:]) END FROM (
+  SELECT n.seqnames, n.strand, n.n, n.idx, n.e, t.ends, coalesce(nullif(list_position(list_transform(t.ends, lambda x: x < n.s), true), 0), len(t.ends) + 1) AS bin FROM t JOIN n ON n.seqnames = t.seqnames AND n.strand = t.strand AND n.n = t.n + 1))
+ SELECT idx, CAST(bin AS INTEGER) AS bin FROM t""")
 _COVER = """, v AS (SELECT seqnames, pos, sum(w) AS v FROM (SELECT seqnames, unnest(range(s, e + 1)) AS pos, w FROM {t}) WHERE pos BETWEEN 1 AND 50100 GROUP BY 1, 2),
  f AS (SELECT sp.seqnames, t.pos, coalesce(v.v, 0) AS v FROM sp CROSS JOIN range(1, 50101) t(pos) LEFT JOIN v ON v.seqnames = sp.seqnames AND v.pos = t.pos),
  r AS (SELECT *, CASE WHEN v = lag(v) OVER w THEN 0 ELSE 1 END AS new FROM f WINDOW w AS (PARTITION BY seqnames ORDER BY pos)), q AS (SELECT *, sum(new) OVER (PARTITION BY seqnames ORDER BY pos) AS run FROM r)
@@ -343,6 +348,34 @@ _add("j9_nearest_in_self", lambda spark, sf: nearest.nearest_in_self(parts(spark
      _W + ", o AS (SELECT a.idx AS q, b.idx AS t FROM p a JOIN p b ON a.seqnames = b.seqnames AND a.idx <> b.idx AND b.s <= a.e + 1 AND b.e >= a.s - 1), c AS (SELECT a.idx AS q, b.idx AS t, greatest(b.s - a.e, a.s - b.e) - 1 AS d FROM p a JOIN p b ON a.seqnames = b.seqnames AND (b.s > a.e OR b.e < a.s) WHERE a.idx NOT IN (SELECT q FROM o)) SELECT q AS query_idx, t AS subject_idx, CAST(0 AS BIGINT) AS distance FROM o UNION ALL SELECT q, t, CAST(d AS BIGINT) FROM (SELECT * FROM c QUALIFY d = min(d) OVER (PARTITION BY q))")
 _add("m_constraints", lambda spark, sf: constraints.violations(orders(spark, sf), "stranded"), _W + "SELECT CASE WHEN count(*) > 0 THEN 'stranded' END AS failed FROM g WHERE strand = '*'")
 
+# Rows and elements by place
+_flat = lambda d: d.select("idx", "seqnames", "start", "end", "strand")
+_listed = lambda spark, sf: part_groups(spark, sf).select("group", "idx", "seqnames", "start", "end", "strand")
+_Q = ", q AS (SELECT idx // 4 AS grp, idx, seqnames, strand, s, e FROM p) "
+_LISTED = 'grp AS "group", idx, seqnames, s AS "start", e AS "end", strand'
+_add("s1_ranges", lambda spark, sf: ingest.ranges(spark, "chr1", range(1, 2001, 10), width=5, strand="+"), """SELECT i + 1 AS idx, 'chr1' AS seqnames, CAST(1 + 10 * i AS INTEGER) AS "start", CAST(5 + 10 * i AS INTEGER) AS "end", '+' AS strand FROM range(0, 200) t(i)""")
+_add("s1_checked", lambda spark, sf: ingest.checked(parts(spark, sf)), _rows("s", "e", source="p"))
+_add("s11_list_as_frame", lambda spark, sf: ingest.as_frame(_listed(spark, sf)).select("group", "idx", "seqnames", "start", "end", "width", "strand"), _W + _Q + f"SELECT {_LISTED}, e - s + 1 AS width FROM q")
+_add("s17_nested_and_back", lambda spark, sf: lists.flat(lists.nested(_listed(spark, sf))), _W + _Q + f"SELECT {_LISTED} FROM q")
+_add("s14_runs_as_ranges", lambda spark, sf: elements.runs_as_ranges(inter.coverage(orders(spark, sf), spaces(spark)), spaces(spark)),
+     _W + ", u AS (SELECT *, 1 AS w FROM g)" + _COVER.format(t="u").replace(" SELECT seqnames, CAST(min(pos)", ", o AS (SELECT seqnames, CAST(min(pos)") + ") SELECT CAST(50100 * (CAST(seqnames[4:] AS INTEGER) - 1) + \"start\" AS BIGINT) AS idx, seqnames, \"start\", \"end\", '*' AS strand, value AS score FROM o")
+_add("s20_grouping", lambda spark, sf: elements.grouping_of(_odd(spark, sf)), _W + _D + 'SELECT idx, min(idx) OVER w AS "group", count(*) OVER w AS size FROM d WINDOW w AS (PARTITION BY seqnames, strand, s, e)')
+_add("p4_replace_rows", lambda spark, sf: _flat(elements.replace_rows(orders(spark, sf), intra.shift(parts(spark, sf), 7).join(orders(spark, sf).select("idx"), "idx", "left_semi"))),
+     _W + 'SELECT a.idx, coalesce(b.seqnames, a.seqnames) AS seqnames, coalesce(b.s + 7, a.s) AS "start", coalesce(b.e + 7, a.e) AS "end", coalesce(b.strand, a.strand) AS strand FROM g a LEFT JOIN p b ON a.idx = b.idx')
+_add("p4_replace_column", lambda spark, sf: _flat(elements.replace_rows(parts(spark, sf), intra.invert_strand(parts(spark, sf)), ["strand"])), _rows("s", "e", "CASE strand WHEN '+' THEN '-' WHEN '-' THEN '+' ELSE '*' END", source="p"))
+_add("p5_replace_elements", lambda spark, sf: elements.replace_elements(_listed(spark, sf), intra.shift(_listed(spark, sf), 9), overlaps.subset_by_overlaps(_listed(spark, sf), orders(spark, sf))),
+     _W + _Q + f", h AS (SELECT DISTINCT b.grp FROM q b JOIN g a ON a.seqnames = b.seqnames AND {_OK} AND {_ANY}) SELECT grp AS \"group\", idx, seqnames, CAST(CASE WHEN grp IN (SELECT grp FROM h) THEN s + 9 ELSE s END AS INTEGER) AS \"start\", CAST(CASE WHEN grp IN (SELECT grp FROM h) THEN e + 9 ELSE e END AS INTEGER) AS \"end\", strand FROM q")
+_add("p5_take_elements", lambda spark, sf: elements.take_elements(_listed(spark, sf), _listed(spark, sf).select("group").distinct(), _listed(spark, sf).where("strand = '-'"))[0], _W + _Q + f"SELECT {_LISTED} FROM q WHERE grp IN (SELECT grp FROM q WHERE strand = '-')")
+_add("p6_slice_variable", lambda spark, sf: elements.slice_variable(inter.coverage(orders(spark, sf), spaces(spark)), parts(spark, sf).where(F.col("end") <= LENGTH)).select("idx", F.size("runs").alias("runs"), F.aggregate("runs", F.lit(0).cast("bigint"), lambda a, r: a + r["length"]).alias("width"), F.aggregate("runs", F.lit(0).cast("bigint"), lambda a, r: a + r["length"] * r["value"]).alias("area")),
+     _W + ", u AS (SELECT *, 1 AS w FROM g)" + _COVER.format(t="u").replace(" SELECT seqnames, CAST(min(pos)", ", o AS (SELECT seqnames, CAST(min(pos)") + ") SELECT p.idx, CAST(count(*) AS INTEGER) AS runs, CAST(sum(least(e, \"end\") - greatest(s, \"start\") + 1) AS BIGINT) AS width, CAST(sum((least(e, \"end\") - greatest(s, \"start\") + 1) * value) AS BIGINT) AS area FROM p JOIN o ON p.seqnames = o.seqnames AND o.\"start\" <= e AND o.\"end\" >= s WHERE e <= 50100 GROUP BY p.idx")
+_add("p7_set_column", lambda spark, sf: elements.set_column(_listed(spark, sf), lists.order_within(_listed(spark, sf), spaces(spark)).select("group", "place", F.col("place").alias("value")), "score").select("group", "idx", "score"), _W + _Q + 'SELECT grp AS "group", idx, CAST(row_number() OVER (PARTITION BY grp ORDER BY idx) AS INTEGER) AS score FROM q')
+_add("i12_compatible_strand", lambda spark, sf: overlaps.side_by_side(orders(spark, sf), parts(spark, sf)).select(F.col("q_idx").alias("idx"), R.compatible(F.col("q_strand"), F.col("s_strand")).alias("compatible")), _W + f"SELECT a.idx, {_OK} AS compatible {_PAIR}")
+_add("i18_list_flank", lambda spark, sf: intra.flank(_listed(spark, sf), 10), _W + _Q + f'SELECT grp AS "group", idx, seqnames, CASE WHEN {_MINUS} THEN e + 1 ELSE s - 10 END AS "start", CASE WHEN {_MINUS} THEN e + 10 ELSE s - 1 END AS "end", strand FROM q')
+_add("a10_span_lists", lambda spark, sf: inter.span(part_groups(spark, sf), by=("group",)), _W + _Q + 'SELECT grp AS "group", seqnames, strand, min(s) AS "start", max(e) AS "end" FROM q GROUP BY 1, 2, 3')
+_tight = lambda spark, sf: elements.local_idx(_listed(spark, sf).withColumn("seqnames", F.lit("chr1")))
+_add("a11_local_revmap", lambda spark, sf: inter.span(_tight(spark, sf), ignore_strand=True, revmap=True, by=("group",)).select("group", "start", "end", F.array_join("revmap", ",").alias("revmap")),
+     _W + _Q + ', k AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY idx) AS n FROM q) SELECT grp AS "group", min(s) AS "start", max(e) AS "end", string_agg(CAST(n AS VARCHAR), \',\' ORDER BY n) AS revmap FROM k GROUP BY 1')
+
 
 def queries() -> dict[str, Query]:
     return {name: query for name, (query, _) in _REGISTRY.items()}

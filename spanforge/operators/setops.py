@@ -12,14 +12,23 @@ from .inter import By, _keys, merge_ranges
 from .overlaps import CORE, overlap_pairs, side_by_side
 
 
+def _ranges_only(*tables: DataFrame) -> None:
+    for t in tables:
+        lacking = {"seqnames", "start", "end", "strand"} - set(t.columns)
+        if lacking:
+            raise TypeError(f"not a table of ranges: no {', '.join(sorted(lacking))}")
+
+
 def union_ranges(x: DataFrame, y: DataFrame, ignore_strand: bool = False, by: By = (), block: int | None = None) -> DataFrame:
     """Positions in x or y."""
+    _ranges_only(x, y)
     cols = [*_keys(by), "start", "end"]
     return merge_ranges(x.select(*cols).unionByName(y.select(*cols)), drop_empty=True, ignore_strand=ignore_strand, by=by, block=block)
 
 
 def _swept(x: DataFrame, y: DataFrame, keep: Column, ignore_strand: bool, by: By, block: int | None) -> DataFrame:
     """Positions from 1 on where counts ``x`` and ``y`` of the ranges there pass keep."""
+    _ranges_only(x, y)
     keys = _keys(by)
 
     def events(df: DataFrame, n: str) -> DataFrame:

@@ -10,7 +10,11 @@ from spanforge import catalog
 DATA = "/root/testdata/sf0.01"
 
 
-@pytest.mark.parametrize("name", ["u9_parallel_setdiff_list", "j14_match", "j14_is_in", "j15_merge_tables"])
+NAMES = ["u9_parallel_setdiff_list", "j14_match", "j14_is_in", "j15_merge_tables", "a6_disjoint_bins", "s1_ranges", "s1_checked", "s11_list_as_frame", "s14_runs_as_ranges", "s17_nested_and_back", "s20_grouping"]
+NAMES += ["p4_replace_rows", "p4_replace_column", "p5_replace_elements", "p5_take_elements", "p6_slice_variable", "p7_set_column", "i12_compatible_strand", "i18_list_flank", "a10_span_lists", "a11_local_revmap"]
+
+
+@pytest.mark.parametrize("name", NAMES)
 def test_whole_tables(spark, name):
     con = duckdb.connect()
     for t in ("orders", "part"):
