@@ -42,9 +42,10 @@ def _sized(docs: DataFrame, seed: int, doc_id: str, text: str, source: str, *mor
         size.alias("size"),
         F.col(source).isNull().alias("_null"),
         F.coalesce(F.col(source), F.lit("")).alias("_src"),
-        F.xxhash64(text).alias("_t"),
+        F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("_t"),
     )
-    return keyed.withColumn("_key", F.xxhash64(F.lit(seed), "_id", "size", "_t"))
+    digits = F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("_id").cast("string"), "_t").cast("binary")), 1, 15)
+    return keyed.withColumn("_key", F.conv(digits, 16, 10).cast("bigint"))
 
 
 def _mixed(rows: DataFrame, light: DataFrame, weights: Sequence[float], share: float, most: float) -> DataFrame:
@@ -54,7 +55,7 @@ def _mixed(rows: DataFrame, light: DataFrame, weights: Sequence[float], share: f
     full = F.when(F.col("source_size") == 0, F.lit(0)).otherwise(F.floor(F.col("target") / F.col("source_size"))).cast("bigint")
     plan = plan.withColumn("_full", full).withColumn("_budget", F.col("target") - F.col("_full") * F.col("source_size"))
     plan = small(written(plan, "mix-plan"))
-    unit = (F.shiftright("_key", 16).cast("double") + F.lit(float(1 << 47))) / F.lit(float(1 << 48))
+    unit = F.shiftright("_key", 12).cast("double") / F.lit(float(1 << 48))
     bucket = F.least(F.floor(unit * F.col("_cut")), F.col("_cut") - 1)
     sums = light.join(plan.select(*_KEY, "_cut"), _KEY).groupBy(*_KEY, bucket.alias("_bucket")).agg(F.sum("size").alias("_sum"))
     earlier = Window.partitionBy(*_KEY).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -77,7 +78,7 @@ def mix_decisions(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share:
     order once more, up to the budget that is left: a row is in if the sum up to its middle is within the budget, so a
     source misses its target by half a document at most. copies never exceed ``most`` (a whole number).
 
-    Rows get hash-random keys from id, size and text; key ranges of equal width cut a source with n rows into about
+    Rows get hash-random keys of 60 bits from seed, id and text; key ranges of equal width cut a source with n rows into about
     sqrt(n) buckets. Bucket sums are prefix-summed per source, rows within their bucket: no window holds more than about
     sqrt(n) rows, however large one source is. Keys depend on rows alone, so reruns agree; rows alike in all of these are
     interchangeable. A null source is a source of its own, last in order. Rows of size 0 take part. Repeated and null ids
@@ -97,3 +98,25 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: fl
 
 def op9_query(docs: DataFrame) -> DataFrame:
     return mix_decisions(docs).select("doc_id", *NEW)
+
+
+#: The same by one window over each source.
+OP9_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source IS NULL AS nul, coalesce(source, '') AS src,
+         CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+         substr(md5(concat_ws(':', '11', CAST(doc_id AS VARCHAR), md5(coalesce(text, '')))), 1, 15) AS k
+  FROM documents),
+s AS (SELECT nul, src, CAST(sum(size) AS BIGINT) AS source_size, sum(size) * 2.0::DOUBLE AS cap FROM d GROUP BY nul, src),
+w AS (SELECT *, list_value(3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE)[(row_number() OVER (ORDER BY nul, src) - 1) % 3 + 1] AS w FROM s),
+r AS (
+  SELECT *, ((SELECT sum(source_size) FROM s) * 1.5::DOUBLE - coalesce(sum(cap) OVER fuller, 0)) / ((SELECT sum(w) FROM w) - coalesce(sum(w) OVER fuller, 0)) AS rate
+  FROM w WINDOW fuller AS (ORDER BY cap / w, nul, src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT nul, src, source_size, least(cap, w * (SELECT rate FROM r WHERE rate * w <= cap ORDER BY cap / w, nul, src LIMIT 1)) AS target FROM r),
+m AS (
+  SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE floor(target / source_size) END AS whole,
+         coalesce(sum(size) OVER (PARTITION BY nul, src ORDER BY k, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + size / 2.0::DOUBLE AS middle
+  FROM d JOIN t USING (nul, src))
+SELECT doc_id, size, source_size, target, CAST(copies AS BIGINT) AS copies, CAST(copies * size AS BIGINT) AS taken
+FROM (SELECT *, whole + CAST(whole < 2 AND middle <= target - whole * source_size AS INTEGER) AS copies FROM m)
+"""

@@ -33,4 +33,4 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     """The rest is not expressible in SQL and tested against plain Python versions."""
-    return {"op4_line_dedup": line_dedup.OP4_SQL, "op6_url_filter": url_filter.OP6_SQL, "op8_decontamination": decontam.OP8_SQL}
+    return {"op4_line_dedup": line_dedup.OP4_SQL, "op6_url_filter": url_filter.OP6_SQL, "op8_decontamination": decontam.OP8_SQL, "op9_mixing": mixing.OP9_SQL}

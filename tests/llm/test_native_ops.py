@@ -136,6 +136,16 @@ def test_mixing(spark, docs, rows, edges):
     assert mixed.columns == edges.columns and mixed.count() == copies
 
 
+def test_mixing_sql(spark, docs):
+    odd = [(900_001, None, None, None, 0), (900_002, "", "", "a", 0), (900_003, " \x0b one\x1ctwo é\u3000ü ", "", "b", 3), (900_004, "w " * 30_000, "", "Z", 9)]
+    some = docs.union(spark.createDataFrame(odd, docs.schema)).toPandas()
+    con = duckdb.connect()
+    con.register("documents", some)
+    want = sorted(con.sql(f"SELECT doc_id, {', '.join(mixing.NEW)} FROM (" + mixing.OP9_SQL + ")").fetchall())
+    got = sorted(tuple(r) for r in mixing.op9_query(docs.union(spark.createDataFrame(odd, docs.schema))).collect())
+    assert got == want
+
+
 @pytest.mark.parametrize("sizes", [{"a": 10, "b": 10, "c": 10}, {"a": 1, "b": 1000, None: 5}, {"z": 0, "b": 7}, {"a": 0}, {"b": 100, "a": 3, "é": 9, "Z": 50}])
 def test_targets(spark, sizes):
     table = spark.createDataFrame([(k is None, k or "", v) for k, v in sizes.items()], "_null boolean, _src string, source_size bigint")
