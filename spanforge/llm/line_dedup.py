@@ -39,7 +39,9 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, doc_id:
     rows = docs.select(F.col(doc_id).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text")).withColumn("_row", F.monotonically_increasing_id())
     lines = rows.select("_row", "_id", F.posexplode(F.split("_text", "\n")).alias("_pos", "_line"))
     key = F.btrim(ascii_lower(F.col("_line")), F.lit(WS_CHARS))
-    keyed = lines.select("*", *_hashes(F.when(F.length(key) >= min_chars, key)))
+    # lines too short to be dropped match nothing, and are dealt by their place rather than all as one null key
+    long, (h1, h2) = F.length(key) >= min_chars, _hashes(key)
+    keyed = lines.select("*", F.when(long, h1).otherwise(F.xxhash64("_row", "_pos")).alias("_h1"), F.when(long, h2).alias("_h2"))
     flagged = keyed.join(frequent, ["_h1", "_h2"], "left")
     out = flagged.groupBy("_row").agg(
         F.first("_id").alias(doc_id),

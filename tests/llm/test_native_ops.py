@@ -27,6 +27,15 @@ def test_lines(spark, docs, rows):
     assert got[0] == ("Own 0\ny", 4, 2) and got[5] == ("Own 5", 4, 3)
 
 
+def test_lines_by_shuffled_join(spark, docs, rows, monkeypatch):
+    monkeypatch.setattr(line_dedup, "small", lambda df: df)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        assert by_id(line_dedup.op4_query(docs)) == brute.lines(rows)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_lines_edges(edges):
     got = line_dedup.dedup_lines(edges).collect()
     assert len(got) == edges.count()
