@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,20 +15,23 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}={0,2}"
 
-#: Encodings from the narrowest alphabet: name, alphabet, and the excess of repeated symbols that text in it has at least
-#: (alphabet size times index of coincidence, less 1).
+_VOWELS, _CONSONANTS = "aeiouAEIOU", "bcdfghjklmnpqrstvwxyzBCDFGHJKLMNPQRSTVWXYZ"
+_DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Encodings from the narrowest alphabet: name, alphabet, and what text in it is like at most or least: the excess of repeated
+#: symbols (alphabet size times index of coincidence, less 1; at least), the share of neighbours of two classes (lower,
+#: upper, digit, mark; at most) and that of neighbouring letters of which one is a vowel (at least). None: says nothing there.
 ENCODINGS = [
-    ("decimal", "0123456789", 1.0),
-    ("hex", "0123456789abcdef", 1.0),
-    ("hex_upper", "0123456789ABCDEF", 1.0),
-    ("lower", "abcdefghijklmnopqrstuvwxyz", 0.7),
-    ("upper", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", 0.7),
-    ("base32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 1.1),
-    ("base36", "0123456789abcdefghijklmnopqrstuvwxyz", 1.3),
-    ("alphanumeric", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", 2.8),
-    ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 2.9),
-    ("base64url", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-", 2.9),
-    ("other", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-", 3.0),
+    ("decimal", _DIGITS, 1.0, None, None),
+    ("hex", _DIGITS + "abcdef", 1.0, 0.2, None),
+    ("hex_upper", _DIGITS + "ABCDEF", 1.0, 0.2, None),
+    ("lower", _LOWER, 0.7, None, 0.5),
+    ("upper", _UPPER, 0.7, None, 0.5),
+    ("base32", _UPPER + "234567", 1.1, 0.25, 0.5),
+    ("base36", _DIGITS + _LOWER, 1.3, 0.25, 0.5),
+    ("alphanumeric", _UPPER + _LOWER + _DIGITS, 2.8, 0.4, 0.5),
+    ("base64", _UPPER + _LOWER + _DIGITS + "+/", 2.9, 0.4, 0.5),
+    ("base64url", _UPPER + _LOWER + _DIGITS + "_-", 2.9, 0.4, 0.5),
+    ("other", _UPPER + _LOWER + _DIGITS + "+/_-", 3.0, 0.4, 0.5),
 ]
 #: Lower ends of the length classes within which discoveries are controlled.
 LENGTHS = [20, 28, 40, 64, 128]
@@ -84,9 +89,13 @@ def _tail(z: Column) -> Column:
 def battery(token: Column) -> Column:
     """Tests of one string in the narrowest encoding that holds it.
 
-    Struct of stratum (encoding and length class), p_text (how likely a text's own symbol statistics are this even: the
-    p-value that counts as discovery of a random string), and z-scores against true randomness: z_chi (chi-squared
-    uniformity, Wilson-Hilferty), z_runs (runs of symbols in the alphabet's lower and upper half), z_serial (serial correlation of ranks).
+    Struct of stratum (encoding and length class), p_text (how likely text is this much like a random string: the p-value
+    that counts as discovery), and z-scores against true randomness: z_chi (chi-squared uniformity, Wilson-Hilferty),
+    z_runs (runs of symbols in the alphabet's lower and upper half), z_serial (serial correlation of ranks).
+
+    p_text puts together, by Fisher's method, those of three one-sided tests against text that the encoding allows:
+    symbols more even (chi-squared), more runs of one class of symbols, and less of the turn from vowel to consonant and
+    back that neighbours in words have.
     """
     body = F.rtrim(token, F.lit("="))
 
@@ -97,12 +106,18 @@ def battery(token: Column) -> Column:
         return let(pick, lambda e: tested(s, e))
 
     def tested(s: Column, e: Column) -> Column:
-        alphabet = F.element_at(F.array(*[F.lit(a) for _, a, _ in ENCODINGS]), e + 1)
-        excess = F.element_at(F.array(*[F.lit(x) for _, _, x in ENCODINGS]), e + 1)
+        alphabet = F.element_at(F.array(*[F.lit(x[1]) for x in ENCODINGS]), e + 1)
+        of = lambda i: F.element_at(F.array(*[F.lit(x[i]).cast("double") for x in ENCODINGS]), e + 1)
         ranks = lambda al: F.transform(F.split(s, ""), lambda c: F.instr(al, c).cast("double"))
-        return let(alphabet, lambda al: let(ranks(al), lambda r: scores(s, e, al, excess, r)))
+        return let(alphabet, lambda al: let(ranks(al), lambda r: scores(s, e, al, of, r)))
 
-    def scores(s: Column, e: Column, al: Column, excess: Column, r: Column) -> Column:
+    def neighbours(s: Column, kinds: dict[str, str], test: Callable[[Column, Column], Column]) -> Column:
+        """Neighbours in s for which the test holds; symbols stand for their kind."""
+        named = F.translate(s, "".join(kinds.values()), "".join(k * len(v) for k, v in kinds.items()))
+        both = lambda xs: F.filter(F.transform(xs, lambda x, i: test(x, F.get(xs, i + 1))), lambda t: t)
+        return F.size(let(F.split(named, ""), both)).cast("double")
+
+    def scores(s: Column, e: Column, al: Column, of: Callable[[int], Column], r: Column) -> Column:
         n, k = F.length(s).cast("double"), F.length(al).cast("double")
         square = lambda c: (F.lit(0.0) + F.length(s) - F.length(F.replace(s, c, F.lit("")))) * (F.length(s) - F.length(F.replace(s, c, F.lit(""))))
         chi = F.aggregate(F.transform(F.split(al, ""), square), F.lit(0.0), lambda a, x: a + x) * k / n - n
@@ -116,10 +131,24 @@ def battery(token: Column) -> Column:
             add(lambda x, i: x * nxt(i)).alias("xy"),
             add(lambda x: upper(x).cast("double")).alias("hi"),
             add(lambda x, i: F.coalesce((upper(F.get(r, i + 1)) != upper(x)).cast("double"), F.lit(1.0))).alias("runs"),
+            neighbours(s, {"a": _LOWER, "A": _UPPER, "0": _DIGITS, "-": "+/_-"}, lambda x, y: x != y).alias("changes"),
+            neighbours(s, {"v": _VOWELS, "c": _CONSONANTS, "-": _DIGITS + "+/_"}, lambda x, y: (x != "-") & (y != "-")).alias("letters"),
+            neighbours(s, {"v": _VOWELS, "c": _CONSONANTS, "-": _DIGITS + "+/_"}, lambda x, y: (x != "-") & (y != "-") & (x != y)).alias("turns"),
         )
-        return let(sums, lambda m: F.struct(*finish(m, n, k, excess, e)))
-
-    def finish(m: Column, n: Column, k: Column, excess: Column, e: Column) -> list[Column]:
+        return let(sums, lambda m: F.struct(*finish(m, n, k, of, e)))
+
+    def against_text(m: Column, n: Column, text_mean: Column, text_var: Column, of: Callable[[int], Column]) -> Column:
+        even = _tail((text_mean - m["chi"]) / F.sqrt(text_var))
+        changes, turns = of(3), of(4)
+        many = _tail((m["changes"] - 0.5 - changes * (n - 1)) / F.sqrt(changes * (F.lit(1.0) - changes) * (n - 1)))
+        few = F.when(m["letters"] > 0, _tail((turns * m["letters"] - m["turns"] - 0.5) / F.sqrt(turns * (F.lit(1.0) - turns) * m["letters"]))).otherwise(F.lit(1.0))
+        log = lambda p: F.when(p.isNotNull(), -F.log(F.least(F.greatest(p, F.lit(1e-30)), F.lit(1.0))))
+        said = F.array_compact(F.array(log(even), log(F.when(changes.isNotNull(), many)), log(F.when(turns.isNotNull(), few))))
+        fisher = lambda x, tests: F.exp(-x) * F.when(tests == 1, 1.0).when(tests == 2, x + 1).otherwise(x * x / 2 + x + 1)
+        return let(said, lambda a: let(F.aggregate(a, F.lit(0.0), lambda t, x: t + x), lambda x: fisher(x, F.size(a))))
+
+    def finish(m: Column, n: Column, k: Column, of: Callable[[int], Column], e: Column) -> list[Column]:
+        excess = of(2)
         text_mean, text_var = k - 1 + n * excess, (k - 1) * 2 + n * excess * 4
         cube = 2.0 / ((k - 1) * 9)
         lo = n - m["hi"]
@@ -130,7 +159,7 @@ def battery(token: Column) -> Column:
         length_class = F.size(F.filter(F.array(*[F.lit(x) for x in LENGTHS]), lambda x: x <= n))
         return [
             (e * 10 + length_class).alias("stratum"),
-            _tail((text_mean - m["chi"]) / F.sqrt(text_var)).alias("p_text"),
+            against_text(m, n, text_mean, text_var, of).alias("p_text"),
             ((F.pow(m["chi"] / (k - 1), F.lit(1 / 3)) - (F.lit(1.0) - cube)) / F.sqrt(cube)).alias("z_chi"),
             F.when(var_runs > 0, (m["runs"] - mean_runs) / F.sqrt(var_runs)).otherwise(F.lit(99.0)).alias("z_runs"),
             ((serial + F.lit(1.0) / (n - 1)) / (n / ((n - 1) * F.sqrt(n - 2)))).alias("z_serial"),

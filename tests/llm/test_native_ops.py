@@ -125,6 +125,31 @@ def test_random_strings_are_told_from_text(spark):
     assert not any("random" in got[i][4] for i, _ in texts)
 
 
+def test_short_keys_are_found(spark):
+    rnd = random.Random(7)
+    least = {"hex_upper": 0.9, "lower": 0.4, "upper": 0.4, "base32": 0.55, "base36": 0.8, "alphanumeric": 0.95, "base64": 0.95}
+    alphabets = {e[0]: e[1] for e in secrets.ENCODINGS}
+    keys = [(name, "".join(rnd.choices(alphabets[name], k=32))) for name in least for _ in range(150)]
+    rows = [(i, f"word {k} word") for i, (_, k) in enumerate(keys)]
+    got = by_id(secrets.op3_query(spark.createDataFrame(rows, "doc_id int, text string")))
+    found = {name: [("random" in got[i][4]) for i, (n, _) in enumerate(keys) if n == name] for name in least}
+    assert {n: f for n, f in found.items() if sum(f) < least[n] * len(f)} == {}
+
+
+def test_p_values_hold_for_text(spark, rows):
+    rnd = random.Random(5)
+    words = [w.lower() for _, t in rows for w in brute.words(t)[:40] if w.isascii() and w.isalpha()]
+    forms = [lambda w: w.capitalize(), lambda w: w + "_", lambda w: w + "/", lambda w: w.upper(), lambda w: w, lambda w: w + str(rnd.randint(0, 2030)), lambda w: w.upper() + str(rnd.randint(0, 99))]
+    texts = []
+    for _ in range(4000):
+        form, n, out = rnd.choice(forms), rnd.choice((20, 26, 40, 70)), ""
+        while len(out) < n:
+            out += form(rnd.choice(words))
+        texts.append((out[: n + 3],))
+    p = [r[0] for r in spark.createDataFrame(texts, "s string").select(secrets.battery(F.col("s"))["p_text"]).collect()]
+    assert all(sum(x <= a for x in p) <= a * len(p) for a in (0.1, 0.01, 0.001))
+
+
 def test_mixing(spark, docs, rows, edges):
     sources = {r.doc_id: r.source for r in docs.collect()}
     sizes, taken = {}, {}
