@@ -3,6 +3,7 @@ import re
 
 import brute
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -308,6 +309,26 @@ def test_reputation(spark):
     assert [r[0] for r in names.select(url_filter.registered_domain(F.col("h"), ("co.uk",))).collect()] == ["b.co.uk", "b.co.uk", "x.org", "org"]
 
 
+def test_beta_quantiles(spark):
+    shapes = [(0.05, 0.9), (0.4, 3.0), (1.0, 1.0), (2.0, 5.0), (0.7, 40.0), (30.0, 12.0), (900.0, 5000.0), (9000.0, 3.0)]
+    got = spark.createDataFrame(shapes, "a double, b double").select(url_filter.beta_quantiles(F.col("a"), F.col("b"), [0.05, 0.95]).alias("q")).collect()
+    draw = np.random.default_rng(3)
+    for (a, b), r in zip(shapes, got, strict=True):
+        x = draw.beta(a, b, 400_000)
+        below = [float((x <= q).mean()) for q in r.q]
+        assert below == pytest.approx([0.05, 0.95], abs=0.004), (a, b)
+
+
+def test_names_and_domains(spark):
+    hosts = {
+        "u:p@a.example.org:8080": ("a.example.org", "example.org"), "x@y@shop.co.uk:": ("shop.co.uk", "shop.co.uk"), "10.0.0.17:80": ("10.0.0.17", "10.0.0.17"),
+        "[::1]:80": ("[::1]", "[::1]"), "a.b.com.br": ("a.b.com.br", "b.com.br"), "com.br": ("com.br", "com.br"), "local": ("local", "local"), ":80": ("", ""),
+    }
+    name = url_filter.name_of(F.col("h"))
+    got = spark.createDataFrame([(h,) for h in hosts], "h string").select("h", name, url_filter.registered_domain(name)).collect()
+    assert {r[0]: tuple(r)[1:] for r in got} == hosts
+
+
 def test_line_sql(docs, rows):
     con = duckdb.connect()
     con.sql("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
