@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ranges import STRANDS, width
 from ..plans.binning import interval_join
-from ..plans.prefix import depth, islands, running
+from ..plans.prefix import _next, block_for, depth, islands, running
 
 By = tuple[str, ...]
 
@@ -72,8 +72,6 @@ def disjoin(df: DataFrame, ignore_strand: bool = False, revmap: bool = False, by
     rows = _grouped(df, ignore_strand)
     events = rows.select(*keys, F.explode(F.array(F.struct(F.col("start").alias("pos"), F.lit(1).alias("d")), F.struct((F.col("end") + 1).alias("pos"), F.lit(-1).alias("d")))).alias("e"))
     summed = events.groupBy(*keys, "e.pos").agg(F.sum("e.d").cast("bigint").alias("d"))
-    from ..plans.prefix import _next
-
     sums = _next(running(summed, keys, "pos", ["pos"], {"n": ("sum", F.col("d"))}, inclusive=True, block=block), keys, block)
     pieces = sums.where((F.col("n") > 0) & F.col("_next").isNotNull()).select(*keys, F.col("pos").cast("int").alias("start"), (F.col("_next") - 1).cast("int").alias("end"))
     if not revmap:
@@ -137,6 +135,7 @@ def coverage(df: DataFrame, seqinfo: DataFrame | None = None, shift: int | str |
     """
     per = lambda x: F.expr("CASE seqnames " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in x.items()) + " END") if isinstance(x, dict) else F.col(x) if isinstance(x, str) else F.lit(x)
     keys = [*by, "seqnames"]
+    block = block_for(df, block) or 0  # of the ranges: the planner takes their join with spaces for a product
     shifted = df.select(*keys, (F.col("start") + F.coalesce(per(shift), F.lit(0))).cast("bigint").alias("s"), (F.col("end") + F.coalesce(per(shift), F.lit(0))).cast("bigint").alias("e"), F.coalesce(per(weight), F.lit(1)).alias("w"))
     whole = shifted.schema["w"].dataType.typeName() in ("integer", "long", "short", "byte")
     shifted = shifted.withColumn("w", F.col("w").cast("bigint" if whole else "decimal(38,10)"))
@@ -164,8 +163,6 @@ def coverage(df: DataFrame, seqinfo: DataFrame | None = None, shift: int | str |
     nothing = F.lit(0).cast(shifted.schema["w"].dataType)
     frame = limits.select(*keys, F.explode(F.array(change(F.lit(1).cast("bigint"), nothing, 1), change(F.col("_l") + 1, nothing, 1))).alias("c"))
     events = changes.unionByName(frame).select(*keys, "c.*").groupBy(*keys, "pos").agg(F.sum("value").alias("value"), F.max("frame").alias("frame")).where("value <> 0 OR frame = 1")
-    from ..plans.prefix import _next
-
     sums = _next(running(events, keys, "pos", ["pos"], {"v": ("sum", F.col("value"))}, inclusive=True, block=block), keys, block)
     value = F.col("v") if whole else F.col("v").cast("double")
     return sums.where("_next IS NOT NULL").select(*keys, F.col("pos").cast("int").alias("start"), (F.col("_next") - 1).cast("int").alias("end"), value.alias("value"))
