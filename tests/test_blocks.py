@@ -44,3 +44,16 @@ def test_distance_to_nearest_broadcasts_nothing(spark):
     assert unbroadcast(catalog.queries()["j11_distance_to_nearest"](spark, SMALL))
     q = catalog.orders(spark, SMALL)
     assert unbroadcast(nearest.distance_to_nearest(q, catalog.parts(spark, SMALL), bins=128))
+
+
+def test_nearest_in_self(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "FEWEST", 4)
+    xs = some(3, 60, 200, 12)
+    x = spark.createDataFrame(xs, TYPE)
+    got = sorted(map(tuple, nearest.nearest_in_self(x).collect()))
+    want = sorted((a[0], b[0], 0) for a in xs for b in xs if a[0] != b[0] and touching(a, b))
+    assert [r for r in got if r[2] == 0] == want
+    assert got == sorted(map(tuple, nearest.nearest_in_self(x, bins=64).collect()))
+    last = {r.query_idx: r.subject_idx for r in nearest.nearest_in_self(x, select="arbitrary").where("distance = 0").collect()}
+    assert last == {a: b for a, b, _ in want}
+    assert unbroadcast(catalog.queries()["j9_nearest_in_self"](spark, SMALL))
