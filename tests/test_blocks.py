@@ -57,3 +57,19 @@ def test_nearest_in_self(spark, monkeypatch):
     last = {r.query_idx: r.subject_idx for r in nearest.nearest_in_self(x, select="arbitrary").where("distance = 0").collect()}
     assert last == {a: b for a, b, _ in want}
     assert unbroadcast(catalog.queries()["j9_nearest_in_self"](spark, SMALL))
+
+
+@pytest.mark.parametrize("ties", ["precede", "both"])
+def test_nearest_all(spark, monkeypatch, ties):
+    monkeypatch.setattr(blocks, "FEWEST", 4)
+    monkeypatch.setattr(blocks, "ROWS", 7)
+    qs, ss = some(4, 60, 200, 12), some(5, 60, 200, 12)
+    q, s = spark.createDataFrame(qs, TYPE), spark.createDataFrame(ss, TYPE)
+    got = sorted(map(tuple, nearest.nearest(q, s, ties=ties).collect()))
+    want = {(a[0], b[0]) for a in qs for b in ss if touching(a, b)}
+    touched = {a for a, _ in want}
+    assert {r[:2] for r in got if r[0] in touched} == want and len(got) == len(set(got)) and touched < {r[0] for r in got}
+    assert got == sorted(map(tuple, nearest.nearest(q, s, ties=ties, bins=64).collect()))
+    plan = nearest.nearest(catalog.orders(spark, SMALL), catalog.parts(spark, SMALL), ties=ties)
+    # pairs are not dealt out again by query
+    assert unbroadcast(plan) and "LeftAnti" not in plan._jdf.queryExecution().executedPlan().toString()
